@@ -1,0 +1,6 @@
+"""Named queries over the driver tables, and the SQL they are checked against."""
+
+from . import summary
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
