@@ -47,8 +47,8 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity|nan)$
 
 
 def strip_space(c: Column) -> Column:
-    """Remove leading and trailing white space of any kind (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove leading and trailing white space of any kind (plain ``trim`` removes blanks only)."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def folded(c: Column) -> Column:
@@ -75,15 +75,11 @@ def is_plain_number(c: Column) -> Column:
 
 
 def is_identifier_like(c: Column) -> Column:
-    """Looks like a column name: mostly letters and only word characters, blanks and dashes."""
-    bare = strip_space(c)
-    core = F.regexp_replace(F.regexp_replace(bare, r"^([\"'])(.*)\1$", "$2"), r"[_\-\s]+", "")
-    letters = F.length(F.regexp_replace(core, r"[^\p{L}]", ""))
+    """Looks like a column name: word characters, blanks and dashes, mostly letters."""
+    letters = F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
+    signs = F.length(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
     return F.coalesce(
-        bare.rlike(r"^[A-Za-z0-9 _\-]+$")
-        & ~core.rlike(r"^[\d.]*$")
-        & (letters > 0.6 * F.length(core)),
-        F.lit(False),
+        c.rlike(r"^\s*[A-Za-z0-9 _\-]+\s*$") & (letters > 0.6 * signs), F.lit(False)
     )
 
 
@@ -128,21 +124,22 @@ def datetime_regex(fmt: str) -> tuple[str, str]:
 
 
 def parse_datetime(c: Column, fmt: str) -> Column:
-    """Text to a zone-free timestamp by one strftime format; null when it does not fit."""
-    regex, order = datetime_regex(fmt)
+    """Text to a zone-free timestamp by one strftime format; null when it does not fit.
 
-    def part(directive: str) -> Column:
-        if directive not in order:
-            return F.lit(0)
-        return F.regexp_extract(c, regex, order.index(directive) + 1).try_cast("int")
-
-    month = part("m")
-    for directive, width in (("b", 3), ("B", None)):
-        if directive in order:
-            names = F.array(*[F.lit(m[:width]) for m in MONTHS])
-            name = F.lower(F.regexp_extract(c, regex, order.index(directive) + 1))
-            month = F.array_position(names, name).cast("int")
-    stamp = F.try_make_timestamp_ntz(
-        part("Y"), month, part("d"), part("H"), part("M"), part("S").cast("decimal(8,6)")
-    )
-    return F.when(c.rlike(regex), stamp)
+    The matched parts are put in ISO order, which the built-in cast reads.
+    """
+    regex, order = datetime_regex(fmt)
+    group = {directive: f"${i}" for i, directive in enumerate(order, start=1)}
+    clock = " {H}:{M}:{S}".format(**group) if "H" in order else ""
+    named = next((d for d in "bB" if d in order), None)
+    if named is None:
+        iso = F.regexp_replace(c, regex, "{Y}-{m}-{d}".format(**group) + clock)
+    else:
+        names = F.array(*[F.lit(m[:3] if named == "b" else m) for m in MONTHS])
+        name = F.lower(F.regexp_extract(c, regex, order.index(named) + 1))
+        iso = F.concat(
+            F.regexp_replace(c, regex, group["Y"] + "-"),
+            F.nullif(F.array_position(names, name), F.lit(0)).cast("string"),
+            F.regexp_replace(c, regex, "-" + group["d"] + clock),
+        )
+    return F.when(c.rlike(regex), iso.try_cast("timestamp_ntz"))

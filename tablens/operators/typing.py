@@ -19,7 +19,15 @@ from ..functions.values import (
     to_double_lenient,
     to_long_rounded,
 )
-from .columns import as_text, collect_metrics, is_datetime, is_numeric, metrics_by_name, quoted
+from .columns import (
+    as_text,
+    collect_metrics,
+    is_datetime,
+    is_numeric,
+    metrics_by_name,
+    quoted,
+    values_long,
+)
 from .frequencies import value_counts
 
 # fixed values: smallest share at which a type is chosen, in order of priority
@@ -58,37 +66,62 @@ def _scored(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.StringType) or is_numeric(dtype)
 
 
-def _score(df: DataFrame) -> dict[str, dict]:
-    """Counts of values that fit each type, for all text and numeric columns in one scan."""
-    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    names = [f.name for f in df.schema.fields if _scored(f.dataType)]
-    integral = {f.name for f in df.schema.fields if isinstance(f.dataType, _INTEGRAL)}
-
-    def number(c: str) -> Column:
-        return to_double_lenient(quoted(c)) if c in text else quoted(c).cast("double")
+_FORMAT_COUNTS = tuple(f"format_{i}" for i in range(len(DATETIME_FORMATS)))
 
-    def dated(fmt: str):
-        def count(c: str) -> Column:
-            if c not in text:
-                return F.count_if(F.lit(False))
-            looks_dated = quoted(c).rlike(r"^\d{1,4}[-/ ]")
-            return F.count(F.when(looks_dated, parse_datetime(quoted(c), fmt)))
 
-        return count
+def _score(df: DataFrame) -> dict[str, dict]:
+    """Counts of the values that fit each type, for all text and all numeric columns.
 
-    return collect_metrics(
+    Text columns are scored as ``(column, value)`` cells, so that one set of tests, compiled
+    once, serves any number of columns; the cells are summed before the shuffle.
+    """
+    scores: dict[str, dict] = {}
+    numeric = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
+    integral = {f.name for f in df.schema.fields if isinstance(f.dataType, _INTEGRAL)}
+    scores |= collect_metrics(
         df,
-        names,
+        numeric,
         {
             "total": lambda c: F.count(quoted(c)),
-            "boolean": lambda c: F.count_if(
-                is_boolean_word(quoted(c)) if c in text else quoted(c).isin(0, 1)
-            ),
-            "whole": lambda c: F.count(quoted(c)) if c in integral else F.count_if(is_whole(number(c))),
-            "number": lambda c: F.count(number(c)),
-            **{f"format_{i}": dated(fmt) for i, fmt in enumerate(DATETIME_FORMATS)},
+            "boolean": lambda c: F.count_if(quoted(c).isin(0, 1)),
+            "whole": lambda c: F.count(quoted(c))
+            if c in integral
+            else F.count_if(is_whole(quoted(c).cast("double"))),
+            "number": lambda c: F.count(quoted(c)),
         },
     )
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if text:
+        value = F.col("value")
+        looks_dated = value.rlike(r"^\d{1,4}[-/ ]")
+        cells = (
+            values_long(df, text)
+            .where(value.isNotNull())
+            .select(
+                "column_name",
+                value,
+                is_boolean_word(value).alias("boolean"),
+                to_double_lenient(value).alias("number"),
+                looks_dated.alias("looks_dated"),
+            )
+        )
+        rows = (
+            cells.groupBy("column_name")
+            .agg(
+                F.count("*").alias("total"),
+                F.count_if("boolean").alias("boolean"),
+                F.count_if(is_whole(F.col("number"))).alias("whole"),
+                F.count("number").alias("number"),
+                *[
+                    F.count(F.when(F.col("looks_dated"), parse_datetime(value, fmt))).alias(name)
+                    for name, fmt in zip(_FORMAT_COUNTS, DATETIME_FORMATS)
+                ],
+            )
+            .collect()
+        )
+        found = {r["column_name"]: r.asDict() for r in rows}
+        scores |= {c: found.get(c, {"total": 0}) for c in text}
+    return scores
 
 
 def _ratios(df: DataFrame, with_category: bool) -> dict[str, dict]:
@@ -100,8 +133,8 @@ def _ratios(df: DataFrame, with_category: bool) -> dict[str, dict]:
         if not n:
             ratios[c] = dict(int=0.0, float=0.0, datetime=0.0, boolean=0.0, category=0.0, string=1.0, format=None)
             continue
-        chosen = next((i for i in range(len(DATETIME_FORMATS)) if s[f"format_{i}"]), None)
-        dates = s[f"format_{chosen}"] if chosen is not None else 0
+        chosen = next((i for i, name in enumerate(_FORMAT_COUNTS) if s.get(name)), None)
+        dates = s[_FORMAT_COUNTS[chosen]] if chosen is not None else 0
         # text counts as boolean only when every value is a boolean word
         boolean = s["boolean"] if c not in text or s["boolean"] == n else 0
         # numbers and dates exclude each other; a boolean text column has no other text
