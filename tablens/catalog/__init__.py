@@ -1,6 +1,6 @@
 """Named queries over the driver tables, and the SQL they are checked against."""
 
-from . import association, charts, sampling, summary, text, typing
+from . import association, charts, sampling, sources, summary, tasks, text, typing
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

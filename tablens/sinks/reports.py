@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,27 @@ def json_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def write_json_documents(df: DataFrame, path: str) -> str:
+    """One JSON array document per partition, written as its rows stream by."""
+
+    def bracket(batches):
+        first = True
+        for batch in batches:
+            lines = batch["json"].tolist()
+            if lines and first:
+                lines[0], first = "[" + lines[0], False
+                lines[1:] = ["," + line for line in lines[1:]]
+            else:
+                lines = ["," + line for line in lines]
+            yield pd.DataFrame({"value": lines})
+        if not first:
+            yield pd.DataFrame({"value": ["]"]})
+
+    documents = json_rows(df).mapInPandas(bracket, "value string")
+    documents.write.mode("errorifexists").text(path)
+    return path
+
+
 def write_sample(df: DataFrame, path: str) -> str:
     """A sample as JSON lines in one file (samples are small by construction)."""
     json_rows(df).coalesce(1).write.mode("errorifexists").text(path)
