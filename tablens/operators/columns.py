@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Aggregates of this many columns are planned together; wider tables take several scans
-# so that generated code stays below the JVM's method-size limit.
-COLUMNS_PER_PASS = 60
+# This many aggregate expressions are planned together: beyond it the generated code is too
+# large for the JVM to compile well. Every pass reads only its own columns.
+AGGREGATES_PER_PASS = 60
+
+# Tables estimated below this size are dealt out to all cores before CPU-heavy work.
+SPREAD_BELOW_BYTES = 256 * 1024**2
 
 Metric = Callable[[str], Column]
 
@@ -92,7 +95,7 @@ def metrics_by_name(
     aggregate row is turned into rows without another shuffle.
     """
     parts = []
-    for group in chunks(names, max(1, COLUMNS_PER_PASS // max(1, len(metrics) // 4))):
+    for group in chunks(names, max(1, AGGREGATES_PER_PASS // len(metrics))):
         aggregated = df.agg(
             *[
                 metric(name).alias(f"m{i}_{field}")
@@ -126,3 +129,17 @@ def values_long(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[as_text(df, n).alias(n) for n in names]).unpivot(
         [], [quoted(n) for n in names], "column_name", "value"
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a *small* table out to all cores before CPU-heavy work.
+
+    A small file is often one row group, hence one task. Large tables come in many splits and
+    are left as they are, so this never shuffles a table that is large.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    if int(str(estimate)) >= SPREAD_BELOW_BYTES or not plain:
+        return df
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, F.xxhash64(*[quoted(c) for c in plain]))

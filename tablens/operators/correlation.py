@@ -8,48 +8,51 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import as_number, chunks, collect_metrics, numeric_columns, union_all
+from .columns import as_number, chunks, collect_metrics, numeric_columns, spread, union_all
 from .order import attach_ranks
 
-PAIRS_PER_PASS = 60
+PAIRS_PER_PASS = 300
 _SCHEMA = "col_a string, col_b string, correlation double, n bigint"
 
 
 def _pair_moments(
-    df: DataFrame, values: dict[str, Column], pairs: Sequence[tuple[str, str]], complete: set[str]
+    df: DataFrame, values: dict[str, Column], pairs: Sequence[tuple[str, str]]
 ) -> DataFrame:
     """``(col_a, col_b, correlation, n)`` with nulls removed pair by pair.
 
-    Columns without nulls need one deviation each; other pairs restrict both sides to the
-    rows where the pair is complete. A pair without spread gives null instead of an error.
+    Each row gives one small record per pair, summed within its task before the shuffle, so
+    one compact aggregate serves any number of pairs. A pair without spread gives null.
     """
+    names = list(values)
+    numbers = spread(df.select(*[values[c].alias(f"x{i}") for i, c in enumerate(names)]))
     parts = []
     for group in chunks(pairs, PAIRS_PER_PASS):
-        aggregates: dict[str, Column] = {}
-        rows = []
-        for a, b in group:
-            x, y = values[a], values[b]
-            tag = f"{len(rows)}"
-            if a in complete and b in complete:
-                dx, dy = f"d_{a}", f"d_{b}"
-                aggregates.setdefault(dx, F.stddev_pop(x).alias(dx))
-                aggregates.setdefault(dy, F.stddev_pop(y).alias(dy))
-            else:
-                dx, dy = f"x_{tag}", f"y_{tag}"
-                aggregates[dx] = F.stddev_pop(F.when(y.isNotNull(), x)).alias(dx)
-                aggregates[dy] = F.stddev_pop(F.when(x.isNotNull(), y)).alias(dy)
-            aggregates[f"c_{tag}"] = F.covar_pop(x, y).alias(f"c_{tag}")
-            aggregates[f"n_{tag}"] = F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n_{tag}")
-            spread = F.col(f"`{dx}`") * F.col(f"`{dy}`")
-            rows.append(
-                F.struct(
-                    F.lit(a).alias("col_a"),
-                    F.lit(b).alias("col_b"),
-                    F.when(spread > 0, F.try_divide(F.col(f"c_{tag}"), spread)).alias("correlation"),
-                    F.col(f"n_{tag}").alias("n"),
-                )
+        records = [
+            cell
+            for i, (a, b) in enumerate(group)
+            for cell in (F.lit(i), F.col(f"x{names.index(a)}"), F.col(f"x{names.index(b)}"))
+        ]
+        moments = (
+            numbers.select(F.stack(F.lit(len(group)), *records).alias("pair", "x", "y"))
+            .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+            .groupBy("pair")
+            .agg(
+                F.covar_pop("x", "y").alias("c"),
+                (F.stddev_pop("x") * F.stddev_pop("y")).alias("spread"),
+                F.count("*").alias("n"),
             )
-        parts.append(df.agg(*aggregates.values()).select(F.inline(F.array(*rows))))
+        )
+        label = F.array(
+            *[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b")) for a, b in group]
+        )
+        correlation = F.when(F.col("spread") > 0, F.try_divide("c", "spread"))
+        parts.append(
+            moments.select(
+                F.element_at(label, F.col("pair") + 1).alias("names"),
+                correlation.alias("correlation"),
+                "n",
+            ).select("names.*", "correlation", "n")
+        )
     return union_all(parts)
 
 
@@ -57,20 +60,12 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """Pearson correlation of each unordered pair of non-constant numeric columns, once."""
     names = list(columns or numeric_columns(df))
     values = {c: as_number(df, c) for c in names}
-    facts = collect_metrics(
-        df,
-        names,
-        {
-            "std": lambda c: F.stddev_samp(values[c]),
-            "complete": lambda c: F.count(values[c]) == F.count("*"),
-        },
-    )
+    facts = collect_metrics(df, names, {"std": lambda c: F.stddev_samp(values[c])})
     varying = [c for c in names if (facts[c]["std"] or 0.0) > 0.0]
     pairs = list(combinations(varying, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], _SCHEMA)
-    complete = {c for c in varying if facts[c]["complete"]}
-    return _pair_moments(df, values, pairs, complete)
+    return _pair_moments(df, {c: values[c] for c in varying}, pairs)
 
 
 def heatmap_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -148,9 +143,8 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     aliases = {key: f"k{i}" for i, key in enumerate(ranked)}
     ranks = attach_ranks(df, {aliases[k]: v for k, v in ranked.items()})
     values = {alias: F.col(alias) for alias in aliases.values()}
-    full = {alias for (c, other), alias in aliases.items() if other is None and c in complete}
     named = {(aliases[left], aliases[right]): (a, b) for a, b, left, right in sides}
-    moments = _pair_moments(ranks, values, list(named), full)
+    moments = _pair_moments(ranks, values, list(named))
     label = F.create_map(
         *[x for pair, (a, b) in named.items() for x in (
             F.lit(f"{pair[0]},{pair[1]}"),

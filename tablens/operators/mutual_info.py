@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import digitized_label
-from .columns import as_text, chunks, collect_metrics, is_floating, is_numeric, quoted, union_all
+from .columns import as_text, chunks, collect_metrics, is_floating, is_numeric, quoted, spread, union_all
 
 PAIRS_PER_PASS = 300
 
@@ -56,20 +56,23 @@ def _pairs_pass(df: DataFrame, pairs: Sequence[tuple[str, str]], bins: int) -> D
     names = sorted({c for pair in pairs for c in pair})
     numeric = {c for c in names if is_numeric(df.schema[c].dataType)}
     limits = _limits(df, pairs, numeric)
-    labels: dict[str, Column] = {}
-    records = []
+    cells = spread(df.select(*[quoted(c) for c in names]))
+    labels: dict[tuple, str] = {}
+    columns: list[Column] = []
+    records: list[Column] = []
     for i, (a, b) in enumerate(pairs):
-        left = _label(df, labels, a, b, numeric, limits, bins)
-        right = _label(df, labels, b, a, numeric, limits, bins)
-        records.append(
-            F.when(
-                F.col(left).isNotNull() & F.col(right).isNotNull(),
-                F.struct(F.lit(i).alias("pair"), F.col(left).alias("a"), F.col(right).alias("b")),
-            )
-        )
-    labelled = df.select(*[label.alias(alias) for alias, label in labels.items()])
+        sides = []
+        for name, other in ((a, b), (b, a)):
+            key = (name, *limits.get((name, other), limits.get((name, None), ())))
+            if key not in labels:
+                labels[key] = f"l{len(labels)}"
+                columns.append(_label(df, name, key[1:], bins).alias(labels[key]))
+            sides.append(labels[key])
+        records += [F.lit(i), F.col(sides[0]), F.col(sides[1])]
     joint = (
-        labelled.select(F.inline(F.array_compact(F.array(*records))))
+        cells.select(*columns)
+        .select(F.stack(F.lit(len(pairs)), *records).alias("pair", "a", "b"))
+        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
         .groupBy("pair", "a", "b")
         .agg(F.count("*").alias("n"))
     )
@@ -146,20 +149,13 @@ def _finite(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(value), value) if is_floating(df.schema[name].dataType) else value
 
 
-def _label(df, labels, name, other, numeric, limits, bins) -> str:
-    """Alias of the label column of ``name`` when paired with ``other``; built once."""
-    position = df.columns.index(name)
-    if name not in numeric:
-        alias = f"t{position}"
-        labels.setdefault(alias, as_text(df, name))
-        return alias
-    key = (name, None) if (name, other) not in limits else (name, other)
-    alias = f"b{position}" if key[1] is None else f"b{position}_{df.columns.index(other)}"
-    if alias not in labels:
-        low, high = (F.lit(v).cast("double") for v in limits[key])
-        value = quoted(name).cast("double")
-        label = digitized_label(value, low, high, bins)
-        if is_floating(df.schema[name].dataType):
-            label = F.when(F.isnan(value), F.lit(bins + 1)).otherwise(label)
-        labels[alias] = label.cast("string")
-    return alias
+def _label(df: DataFrame, name: str, limits: tuple, bins: int) -> Column:
+    """Text label of a column: its bin between the limits, or the value without limits."""
+    if not limits:
+        return as_text(df, name)
+    low, high = (F.lit(v).cast("double") for v in limits)
+    value = quoted(name).cast("double")
+    label = digitized_label(value, low, high, bins)
+    if is_floating(df.schema[name].dataType):
+        label = F.when(F.isnan(value), F.lit(bins + 1)).otherwise(label)
+    return label.cast("string")

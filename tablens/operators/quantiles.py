@@ -23,7 +23,7 @@ from .columns import chunks
 
 SKETCH_ACCURACY = 1000
 CANDIDATES = 1_000_000
-TARGETS_PER_PASS = 90
+TARGETS_PER_PASS = 30
 
 
 @dataclass
@@ -69,6 +69,8 @@ def quantiles(
     An expression without values gives ``None``.
     """
     ranks_of = {"nearest": nearest_rank, "linear": linear_ranks}[method]
+    if not values:
+        return {}
     sizes, brackets = _first_sketch(df, values, probabilities)
     targets: dict[tuple[str, int], _Target] = {}
     for key, value in values.items():
@@ -102,7 +104,7 @@ def _first_sketch(df, values, probabilities):
     ]
     sizes: dict[str, int] = {}
     brackets: dict[str, list] = {}
-    for group in chunks(list(values), max(1, TARGETS_PER_PASS // 3)):
+    for group in chunks(list(values), TARGETS_PER_PASS // 2):
         row = df.agg(
             *[F.count(values[k]).alias(f"n{i}") for i, k in enumerate(group)],
             *[F.min(values[k]).alias(f"lo{i}") for i, k in enumerate(group)],
@@ -159,7 +161,7 @@ def _narrow(df: DataFrame, targets: Sequence[_Target]) -> None:
     """Shrink brackets that hold too many values, keeping those that cannot shrink."""
     margin = 2.5 / SKETCH_ACCURACY
     before = {id(t): (t.low, t.high) for t in targets}
-    for group in chunks(targets, TARGETS_PER_PASS // 3):
+    for group in chunks(targets, TARGETS_PER_PASS // 2):
         row = df.agg(
             *[
                 F.percentile_approx(
@@ -189,23 +191,15 @@ def _narrow(df: DataFrame, targets: Sequence[_Target]) -> None:
 
 
 def _read_off(df: DataFrame, targets: Sequence[_Target]) -> dict[tuple[str, int], float]:
-    candidates = df.select(
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(
-                            t.bracketed().isNotNull(),
-                            F.struct(F.lit(i).alias("t"), t.value.alias("v")),
-                        )
-                        for i, t in enumerate(targets)
-                    ]
-                )
-            )
-        ).alias("c")
-    ).select("c.*")
+    names = [f"t{i}" for i in range(len(targets))]
+    candidates = (
+        df.select(*[t.bracketed().alias(n) for n, t in zip(names, targets)])
+        .where(F.coalesce(*names).isNotNull())
+        .unpivot([], names, "t", "v")
+        .where(F.col("v").isNotNull())
+    )
     facts = F.create_map(
-        *[F.lit(x) for i, t in enumerate(targets) for x in (i, t.rank - t.below)]
+        *[F.lit(x) for n, t in zip(names, targets) for x in (n, t.rank - t.below)]
     )
     counted = candidates.groupBy("t", "v").agg(F.count("*").alias("n"))
     running = F.sum("n").over(W.partitionBy("t").orderBy("v"))
@@ -216,4 +210,5 @@ def _read_off(df: DataFrame, targets: Sequence[_Target]) -> dict[tuple[str, int]
         .agg(F.min("v").alias("v"))
         .collect()
     )
-    return {(targets[r["t"]].key, targets[r["t"]].rank): r["v"] for r in rows}
+    by_name = dict(zip(names, targets))
+    return {(by_name[r["t"]].key, by_name[r["t"]].rank): r["v"] for r in rows}

@@ -26,6 +26,7 @@ from .columns import (
     is_numeric,
     metrics_by_name,
     quoted,
+    spread,
     values_long,
 )
 from .frequencies import value_counts
@@ -95,7 +96,7 @@ def _score(df: DataFrame) -> dict[str, dict]:
         value = F.col("value")
         looks_dated = value.rlike(r"^\d{1,4}[-/ ]")
         cells = (
-            values_long(df, text)
+            values_long(spread(df.select(*[quoted(c) for c in text])), text)
             .where(value.isNotNull())
             .select(
                 "column_name",
