@@ -132,7 +132,9 @@ def parse_datetime(c: Column, fmt: str) -> Column:
     group = {directive: f"${i}" for i, directive in enumerate(order, start=1)}
     clock = " {H}:{M}:{S}".format(**group) if "H" in order else ""
     named = next((d for d in "bB" if d in order), None)
-    if named is None:
+    if fmt in ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d"):
+        iso = c
+    elif named is None:
         iso = F.regexp_replace(c, regex, "{Y}-{m}-{d}".format(**group) + clock)
     else:
         names = F.array(*[F.lit(m[:3] if named == "b" else m) for m in MONTHS])
