@@ -1,5 +1,11 @@
 """Errors a caller can act on. Messages never contain connection passwords."""
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+
+# what a failed read can raise, depending on where in Spark it fails
+READ_FAILURES = (PySparkException, Py4JJavaError)
+
 
 class TablensError(Exception):
     """Base class of every error raised by this package."""

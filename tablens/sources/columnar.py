@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..errors import DataLoadingError, EmptyDatasetError
+from ..errors import READ_FAILURES, DataLoadingError, EmptyDatasetError
 from ..functions.values import exact_null_word_to_null
 from ..operators.columns import quoted
 from .registry import register_reader
@@ -33,6 +32,6 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
             raise EmptyDatasetError(f"{path} has no columns")
         if df.isEmpty():
             raise EmptyDatasetError(f"{path} has no rows")
-    except PySparkException as error:
+    except READ_FAILURES as error:
         raise DataLoadingError(f"invalid Parquet in {path}") from error
     return normalize_nulls_exact(df)

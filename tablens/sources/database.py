@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from urllib.parse import unquote, urlsplit
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import (
+    READ_FAILURES,
     AccessDeniedError,
     AuthenticationError,
     ConfigurationError,
@@ -102,9 +102,5 @@ def read_table(
         if df.limit(1).isEmpty():
             raise EmptyDatasetError(f"table {table} has no rows")
         return df
-    except PySparkException as error:
-        raise database_error(str(error), table) from None
-    except Exception as error:
-        if "java" not in str(type(error)).lower() and "py4j" not in str(type(error)).lower():
-            raise
+    except READ_FAILURES as error:
         raise database_error(str(error), table) from None

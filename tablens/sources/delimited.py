@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DataLoadingError, EmptyDatasetError
+from ..errors import READ_FAILURES, DataLoadingError, EmptyDatasetError
 from ..functions.values import null_word_to_null
 from ..operators.columns import quoted
 from .dialect import detect_dialects
@@ -80,8 +79,8 @@ def read_delimited(
             .agg(F.collect_list("path").alias("paths"))
             .collect()
         )
-    except PySparkException as error:
-        raise DataLoadingError(f"cannot read {path}: {error.getCondition() or 'read failed'}") from error
+    except READ_FAILURES as error:
+        raise DataLoadingError(f"cannot read {path}") from error
     if not groups:
         raise EmptyDatasetError(f"{path} has no columns")
     frames = []

@@ -6,12 +6,11 @@ from collections.abc import Iterator, Sequence
 from xml.etree.ElementTree import ParseError, XMLPullParser
 
 import pandas as pd
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DataLoadingError, EmptyDatasetError
+from ..errors import READ_FAILURES, DataLoadingError, EmptyDatasetError
 from ..operators.columns import quoted
 from .flatten import flatten
 from .heads import file_heads
@@ -26,7 +25,7 @@ def _read_json(spark: SparkSession, path: str, one_document: bool) -> DataFrame:
         if not nested.columns or nested.isEmpty():
             raise EmptyDatasetError(f"{path} has no records")
         return flatten(nested)
-    except PySparkException as error:
+    except READ_FAILURES as error:
         raise DataLoadingError(f"invalid JSON in {path}") from error
 
 
@@ -58,7 +57,8 @@ def child_tags(spark: SparkSession, path: str) -> list[str]:
                             tags.add(element.tag)
                 except ParseError as error:
                     raise ValueError("malformed XML") from error
-            yield pd.DataFrame({"tag": sorted(tags)})
+            if tags:
+                yield pd.DataFrame({"tag": sorted(tags)})
 
     tags = file_heads(spark, path).mapInPandas(scan, "tag string").distinct()
     return sorted(r["tag"] for r in tags.collect())
@@ -84,7 +84,7 @@ def read_xml(
         if not df.columns or df.isEmpty():
             raise EmptyDatasetError(f"{path} has no rows")
         return df
-    except PySparkException as error:
+    except READ_FAILURES as error:
         raise DataLoadingError(f"invalid XML in {path}") from error
 
 

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 HEAD_BYTES = 65536
 
@@ -32,7 +31,4 @@ def file_heads(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "head": batch["path"].map(read_range)})
 
-    # the listing names files URL-encoded
-    return files.select(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path")).mapInPandas(
-        read, "path string, head binary"
-    )
+    return files.select("path").mapInPandas(read, "path string, head binary")

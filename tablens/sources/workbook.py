@@ -11,11 +11,10 @@ from functools import reduce
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ConfigurationError, DataLoadingError, EmptyDatasetError
+from ..errors import READ_FAILURES, ConfigurationError, DataLoadingError, EmptyDatasetError
 from .delimited import _column_names
 from .registry import register_reader
 
@@ -157,7 +156,7 @@ def read_workbooks(
             )
             .collect()
         )
-    except PySparkException as error:
+    except READ_FAILURES as error:
         raise DataLoadingError(f"cannot read workbook {path}") from error
     if not sheets or all(s["n"] <= int(has_header) for s in sheets):
         raise EmptyDatasetError(f"{path} has no rows")
