@@ -75,6 +75,11 @@ def as_text(df: DataFrame, name: str) -> Column:
     return quoted(name).cast("string")
 
 
+def short_form(text: Column) -> Column:
+    """Stands for the text where only equality counts: long texts become their SHA-256."""
+    return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
+
+
 def chunks(items: Sequence, size: int) -> list[Sequence]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 

@@ -13,6 +13,7 @@ from .columns import (
     categorical_columns,
     metrics_by_name,
     numeric_columns,
+    short_form,
     values_long,
 )
 
@@ -35,12 +36,26 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column_name, n_unique)`` with null counted as a value, as in ``value_counts``."""
-    return value_counts(df, columns).groupBy("column_name").agg(
-        F.count("*").alias("n_unique")
+    """``(column_name, n_unique, n_values)``: distinct values with and without null.
+
+    Long texts are told apart by their SHA-256, so that only digests are shuffled.
+    """
+    cells = values_long(df, columns).select("column_name", short_form(F.col("value")).alias("value"))
+    return (
+        cells.distinct()
+        .groupBy("column_name")
+        .agg(F.count("*").alias("n_unique"), F.count("value").alias("n_values"))
     )
 
 
+def approximate_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct non-null values per column within about 2 %, without a shuffle of values."""
+    found = metrics_by_name(
+        df, columns, {"n": lambda c: F.approx_count_distinct(as_text(df, c), 0.02)}
+    )
+    return {r["column_name"]: r["n"] for r in found.collect()}
+
+
 def constant_columns(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(column_name, top_share)`` of columns where one value (or null) has that share.
 
@@ -56,12 +71,16 @@ def constant_columns(df: DataFrame, threshold: float = 0.8) -> DataFrame:
         sketch = metrics_by_name(
             df,
             df.columns,
-            {"best": lambda c: _top_item(texts[c])},
+            {"top": lambda c: _top_item(texts[c]), "total": lambda c: F.count("*")},
         )
-        best = {r["column_name"]: r["best"] for r in sketch.collect()}
+        # the sketch never counts an item too low: only columns that can qualify come back
+        likely = sketch.where(F.col("top")["count"] >= F.col("total") * threshold)
+        best = {r["column_name"]: r["top"]["item"] for r in likely.collect()}
+        if not best:
+            return df.sparkSession.createDataFrame([], "column_name string, top_share double")
         top = metrics_by_name(
             df,
-            df.columns,
+            list(best),
             {
                 "top": lambda c: F.count_if(texts[c].eqNullSafe(F.lit(best[c]))),
                 "total": lambda c: F.count("*"),
@@ -74,9 +93,8 @@ def constant_columns(df: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def _top_item(text):
-    return F.get(F.call_function("approx_top_k", text, F.lit(1), F.lit(_SKETCH_ITEMS)), F.lit(0))[
-        "item"
-    ]
+    found = F.call_function("approx_top_k", text, F.lit(1), F.lit(_SKETCH_ITEMS))
+    return F.get(found, F.lit(0))
 
 
 def near_zero_variance(

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import digitized_label
-from .columns import as_text, chunks, collect_metrics, is_floating, is_numeric, quoted, spread, union_all
+from .columns import as_text, chunks, collect_metrics, is_floating, is_numeric, quoted, short_form, spread, union_all
+from .frequencies import distinct_counts
 
 PAIRS_PER_PASS = 300
 
@@ -56,6 +57,7 @@ def _pairs_pass(df: DataFrame, pairs: Sequence[tuple[str, str]], bins: int) -> D
     names = sorted({c for pair in pairs for c in pair})
     numeric = {c for c in names if is_numeric(df.schema[c].dataType)}
     limits = _limits(df, pairs, numeric)
+    unique = _unique(df, [c for c in names if c not in numeric])
     cells = spread(df.select(*[quoted(c) for c in names]))
     labels: dict[tuple, str] = {}
     columns: list[Column] = []
@@ -66,7 +68,11 @@ def _pairs_pass(df: DataFrame, pairs: Sequence[tuple[str, str]], bins: int) -> D
             key = (name, *limits.get((name, other), limits.get((name, None), ())))
             if key not in labels:
                 labels[key] = f"l{len(labels)}"
-                columns.append(_label(df, name, key[1:], bins).alias(labels[key]))
+                if name in unique:  # the value itself is not needed, see below
+                    label = F.when(quoted(name).isNotNull(), F.lit(""))
+                else:
+                    label = _label(df, name, key[1:], bins)
+                columns.append(label.alias(labels[key]))
             sides.append(labels[key])
         records += [F.lit(i), F.col(sides[0]), F.col(sides[1])]
     joint = (
@@ -87,26 +93,63 @@ def _pairs_pass(df: DataFrame, pairs: Sequence[tuple[str, str]], bins: int) -> D
         for side in ("a", "b")
     ]
     name = F.element_at(
-        F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b")) for a, b in pairs]),
+        F.array(
+            *[
+                F.struct(
+                    F.lit(a).alias("col_a"),
+                    F.lit(b).alias("col_b"),
+                    F.lit(a in unique).alias("unique_a"),
+                    F.lit(b in unique).alias("unique_b"),
+                )
+                for a, b in pairs
+            ]
+        ),
         F.col("pair") + 1,
     )
     n = F.col("n").cast("double")
-    information = F.greatest(
-        F.lit(0.0), F.ln(n) + (F.col("joint") - F.col("side_a") - F.col("side_b")) / n
-    )
+    # a unique side occurs once per row, and so does every combination with it
+    joint_sum = F.when(F.col("names.unique_a") | F.col("names.unique_b"), 0.0).otherwise(F.col("joint"))
+    side_sum = F.when(F.col("names.unique_a"), 0.0).otherwise(F.col("side_a")) + F.when(
+        F.col("names.unique_b"), 0.0
+    ).otherwise(F.col("side_b"))
+    information = F.greatest(F.lit(0.0), F.ln(n) + (joint_sum - side_sum) / n)
     found = both.join(F.broadcast(sides[0]), "pair").join(F.broadcast(sides[1]), "pair")
     all_pairs = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))
     return (
         all_pairs.join(F.broadcast(found), "pair", "left")
+        .withColumn("names", name)
         .select(
-            name.alias("names"),
+            "names.col_a",
+            "names.col_b",
             F.coalesce(information, F.lit(0.0)).alias("mutual_info"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )
-        .select("names.*", "mutual_info", "n")
     )
 
 
+def _unique(df: DataFrame, names: Sequence[str]) -> set[str]:
+    """Columns whose non-null values are all different (identifiers, free text).
+
+    Their pairs need no joint counts, which would be as large as the table. Uniqueness is
+    counted exactly, for columns that a sketch finds close to it.
+    """
+    if not names:
+        return set()
+    facts = collect_metrics(
+        df,
+        names,
+        {
+            "filled": lambda c: F.count(quoted(c)),
+            "near": lambda c: F.approx_count_distinct(as_text(df, c), 0.02),
+        },
+    )
+    likely = [c for c in names if facts[c]["near"] > 0.8 * facts[c]["filled"] > 0]
+    if not likely:
+        return set()
+    counts = {r["column_name"]: r["n_values"] for r in distinct_counts(df, likely).collect()}
+    return {c for c in likely if counts[c] == facts[c]["filled"]}
+
+
 def _n_log_n(count: str) -> Column:
     n = F.col(count).cast("double")
     return n * F.ln(n)
@@ -152,7 +195,7 @@ def _finite(df: DataFrame, name: str) -> Column:
 def _label(df: DataFrame, name: str, limits: tuple, bins: int) -> Column:
     """Text label of a column: its bin between the limits, or the value without limits."""
     if not limits:
-        return as_text(df, name)
+        return short_form(as_text(df, name))
     low, high = (F.lit(v).cast("double") for v in limits)
     value = quoted(name).cast("double")
     label = digitized_label(value, low, high, bins)

@@ -17,7 +17,7 @@ from ..storage import cut
 from .columns import chunks, quoted, union_all
 
 # Value-to-rank tables up to this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_RANKS = 500_000
+BROADCAST_RANKS = 200_000
 # Values holding at least this share of a column go into the (small) hot-value table.
 HOT_SHARE = 0.001
 SALTS = 1024

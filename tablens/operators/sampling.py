@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import columns_where, is_datetime, quoted
-from .frequencies import distinct_counts
+from .frequencies import approximate_counts, distinct_counts
 from .order import file_index, global_index
 
 SEED = 42
 FEW_VALUES = 20
+# Samples up to this size are matched back to the table by broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def _draw(key: Sequence[str] | None, seed: int) -> Column:
@@ -42,18 +44,31 @@ def systematic_sample(
     if not order_by:
         return file_index(df).where(wanted).drop("row_index")
     chosen = global_index(df, order_by).where(wanted).drop("row_index")
-    # fewer than 2 * max_rows keys
-    keys = F.broadcast(chosen.select(*[quoted(c).alias(f"__k{i}") for i, c in enumerate(order_by)]))
+    keys = chosen.select(*[quoted(c).alias(f"__k{i}") for i, c in enumerate(order_by)])
+    if max_rows <= BROADCAST_KEYS:  # fewer than 2 * max_rows keys
+        keys = F.broadcast(keys)
     match = [quoted(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(order_by)]
     return df.join(keys, match, "left_semi")
 
 
-def stratum_candidates(df: DataFrame) -> list[tuple[str, int]]:
+def _strata(df: DataFrame, columns: Sequence[str], max_rows: int) -> dict[str, int]:
+    """Distinct values per column, null included: exact as far as they decide a sample.
+
+    A sketch sorts out the columns with so many values that every stratum gives one row.
+    """
+    near = approximate_counts(df, columns)
+    exact = [c for c in columns if near[c] <= 4 * max(max_rows, FEW_VALUES)]
+    if exact:
+        near |= {r["column_name"]: r["n_unique"] for r in distinct_counts(df, exact).collect()}
+    return near
+
+
+def stratum_candidates(df: DataFrame, max_rows: int) -> list[tuple[str, int]]:
     """Text columns and columns of fewer than 20 values, fewest distinct values first."""
     texts = set(columns_where(df, lambda t: isinstance(t, T.StringType)))
     usable = columns_where(df, lambda t: not isinstance(t, (T.ArrayType, T.StructType, T.MapType)))
-    counts = {r["column_name"]: r["n_unique"] for r in distinct_counts(df, usable).collect()}
-    found = [(c, counts[c]) for c in usable if c in counts and (c in texts or counts[c] < FEW_VALUES)]
+    counts = _strata(df, usable, max_rows)
+    found = [(c, counts[c]) for c in usable if c in texts or counts[c] < FEW_VALUES]
     return sorted(found, key=lambda item: item[1])
 
 
@@ -70,12 +85,12 @@ def stratified_sample(
     per stratum before the shuffle, so a large stratum stays spread out.
     """
     if column is None:
-        candidates = stratum_candidates(df)
+        candidates = stratum_candidates(df, max_rows)
         if not candidates:
             return df.limit(0)
         column, strata = candidates[0]
     else:
-        strata = distinct_counts(df, [column]).first()["n_unique"]
+        strata = _strata(df, [column], max_rows)[column]
     per_stratum = max(1, max_rows // max(1, strata))
     place = F.row_number().over(W.partitionBy(quoted(column)).orderBy("__draw"))
     return (
@@ -115,7 +130,7 @@ def sample_auto(
     dated = columns_where(df, lambda t: is_datetime(t) or isinstance(t, T.DateType))
     if dated:
         return "systematic_sample", systematic_sample(df, max_rows, order_by)
-    for column, _ in stratum_candidates(df):
+    for column, _ in stratum_candidates(df, max_rows):
         sample = stratified_sample(df, max_rows, column, key, seed)
         if not sample.isEmpty():
             return "stratified_sample", sample

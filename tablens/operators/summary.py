@@ -17,7 +17,7 @@ from .columns import (
     numeric_columns,
     quoted,
 )
-from .frequencies import value_counts
+from .frequencies import distinct_counts
 from .quantiles import quantiles
 
 FENCE = 1.5
@@ -202,8 +202,8 @@ def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
         per_column["distinct_count"] = lambda c: F.approx_count_distinct(as_text(df, c), 0.02)
         facts = metrics_by_name(df, df.columns, per_column)
     else:
-        distinct = value_counts(df).groupBy("column_name").agg(
-            F.count("value").alias("distinct_count")
+        distinct = distinct_counts(df, df.columns).select(
+            "column_name", F.col("n_values").alias("distinct_count")
         )
         facts = metrics_by_name(df, df.columns, per_column).join(
             F.broadcast(distinct), "column_name", "left"

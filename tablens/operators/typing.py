@@ -29,7 +29,7 @@ from .columns import (
     spread,
     values_long,
 )
-from .frequencies import value_counts
+from .frequencies import distinct_counts
 
 # fixed values: smallest share at which a type is chosen, in order of priority
 BOOLEAN_SHARE = 0.98
@@ -154,12 +154,9 @@ def _ratios(df: DataFrame, with_category: bool) -> dict[str, dict]:
         c for c, r in ratios.items() if r["category"] is None and (with_category or _decide(r, True) is None)
     ]
     if needed:
-        distinct = value_counts(df, needed).groupBy("column_name").agg(
-            F.count("value").alias("distinct_count")
-        )
-        for row in distinct.collect():
+        for row in distinct_counts(df, needed).collect():
             r = ratios[row["column_name"]]
-            r["category"] = 1.0 - row["distinct_count"] / r["total"]
+            r["category"] = 1.0 - row["n_values"] / r["total"]
     return ratios
 
 
@@ -298,8 +295,8 @@ def schema_report(
         metrics["distinct_count"] = lambda c: F.approx_count_distinct(as_text(converted, c), 0.02)
         facts = metrics_by_name(df, names, metrics)
     else:
-        distinct = value_counts(converted).groupBy("column_name").agg(
-            F.count("value").alias("distinct_count")
+        distinct = distinct_counts(converted, names).select(
+            "column_name", F.col("n_values").alias("distinct_count")
         )
         facts = (
             metrics_by_name(df, names, metrics)

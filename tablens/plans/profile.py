@@ -36,7 +36,7 @@ class Profile:
 
     def document(self) -> DataFrame:
         """The profile as one nested row, ready for ``write_json``."""
-        row = self.shape.crossJoin(self.duplicates)  # one row each
+        row = self.shape.select("*", self.duplicates.scalar().alias("duplicated_rows"))
         parts = {
             "missing": self.missing,
             "outliers_per_column": self.outliers,
@@ -49,8 +49,9 @@ class Profile:
             if part is None:
                 row = row.withColumn(name, F.array())
                 continue
-            packed = part.agg(F.sort_array(F.collect_list(F.struct("*"))).alias(name))
-            row = row.crossJoin(F.broadcast(packed))  # one row each
+            # one record per column or pair
+            packed = part.agg(F.sort_array(F.collect_list(F.struct("*"))))
+            row = row.withColumn(name, packed.scalar())
         return row
 
 

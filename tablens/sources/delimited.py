@@ -74,11 +74,11 @@ def read_delimited(
         layout = F.when(F.col("header"), F.col("first_row")).otherwise(
             F.transform("first_row", lambda c: F.lit(None).cast("string"))
         )
-        groups = (
-            found.groupBy("sep", "quote", "header", layout.alias("layout"))
-            .agg(F.collect_list("path").alias("paths"))
-            .collect()
-        )
+        keys = ("sep", "quote", "header", "layout")
+        found = found.withColumn("layout", layout)
+        groups = found.select(*keys).distinct().collect()
+        if len(groups) > 1:  # only then are the file names of each group needed
+            groups = found.groupBy(*keys).agg(F.collect_list("path").alias("paths")).collect()
     except READ_FAILURES as error:
         raise DataLoadingError(f"cannot read {path}") from error
     if not groups:

@@ -104,6 +104,15 @@ def test_mutual_information_labels_nan_with_the_last_bin(spark):
     assert row["mutual_info"] == pytest.approx(np.log(2)) and row["n"] == 4
 
 
+def test_mutual_information_with_unique_columns(spark):
+    rows = [(f"id{i}", f"other{i}" if i % 4 else None, "ab"[i % 2], i) for i in range(400)]
+    df = spark.createDataFrame(rows, "u string, v string, g string, n int")
+    got = as_dict(mutual_info.mutual_info_pairs(df), "mutual_info")
+    frame = df.toPandas().astype({"n": float})
+    for pair, value in got.items():
+        assert value == pytest.approx(reference_information(frame, *pair), abs=1e-9)
+
+
 def test_mutual_information_of_empty_pairs(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b string")
     row = mutual_info.mutual_info_pairs(df).first()
