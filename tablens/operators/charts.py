@@ -22,7 +22,7 @@ from .columns import (
     quoted,
     union_all,
 )
-from .frequencies import value_counts
+from .frequencies import bounded_counts, value_counts
 from .kruskal import kruskal_ranking
 from .quantiles import quantiles
 from .sampling import random_sample
@@ -151,18 +151,17 @@ def top_categories(
     Ordered by count, then value. Labels are cut when the longest of a column is too long.
     """
     names = list(columns or categorical_columns(df)[:first_columns])
+    sizes = bounded_counts(df, names, max_unique)
+    names = [c for c in names if 0 < sizes[c] <= max_unique]
+    if not names:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, label string, n bigint, place int"
+        )
     counts = value_counts(df, names)
-    few = counts.groupBy("column_name").agg(F.count("*").alias("n_unique")).where(
-        F.col("n_unique") <= max_unique
-    )
     place = F.row_number().over(
         W.partitionBy("column_name").orderBy(F.desc("n"), F.asc_nulls_last("value"))
     )
-    top = (
-        counts.join(F.broadcast(few), "column_name", "left_semi")
-        .withColumn("place", place)
-        .where(F.col("place") <= top_k)
-    )
+    top = counts.withColumn("place", place).where(F.col("place") <= top_k)
     longest = F.max(F.char_length("value")).over(W.partitionBy("column_name"))
     return top.select(
         "column_name",
@@ -237,8 +236,9 @@ def box_stats(
     label = as_text(df, category)
     value = as_number(df, column)
     rows = df.select(label.alias("category"), value.alias("value")).na.drop()
-    found = rows.select("category").distinct().limit(max_categories + 1).collect()
-    if not found or len(found) > max_categories:
+    few = bounded_counts(rows, ["category"], max_categories)["category"] <= max_categories
+    found = rows.select("category").distinct().collect() if few else []
+    if not found:
         return df.sparkSession.createDataFrame(
             [],
             "category string, n bigint, q1 double, median double, q3 double, whisker_low double, whisker_high double, fliers bigint",
@@ -292,9 +292,10 @@ def category_boxes(
 ) -> DataFrame:
     """Boxes of the numeric columns most associated with each small categorical column."""
     parts = []
-    for category in list(categories or categorical_columns(df)[:2]):
-        values = df.select(as_text(df, category).alias("v")).distinct()
-        if values.limit(max_categories + 1).count() > max_categories:
+    names = list(categories or categorical_columns(df)[:2])
+    sizes = bounded_counts(df, names, max_categories)
+    for category in names:
+        if sizes[category] > max_categories:
             continue
         for row in kruskal_ranking(df, category, columns or numeric_columns(df), top_n).collect():
             parts.append(

@@ -48,12 +48,22 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def approximate_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Distinct non-null values per column within about 2 %, without a shuffle of values."""
+def bounded_counts(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
+    """Distinct values per column, null included: exact up to ``limit``, else approximate.
+
+    A sketch (one scan, no shuffle of values) first sorts out the columns far above the limit,
+    so that only small sets of values are ever shuffled.
+    """
+    if not columns:
+        return {}
     found = metrics_by_name(
         df, columns, {"n": lambda c: F.approx_count_distinct(as_text(df, c), 0.02)}
     )
-    return {r["column_name"]: r["n"] for r in found.collect()}
+    counts = {r["column_name"]: r["n"] for r in found.collect()}
+    exact = [c for c in columns if counts[c] <= 2 * limit + 10]
+    if exact:
+        counts |= {r["column_name"]: r["n_unique"] for r in distinct_counts(df, exact).collect()}
+    return counts
 
 
 def constant_columns(df: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -67,7 +77,7 @@ def constant_columns(df: DataFrame, threshold: float = 0.8) -> DataFrame:
             F.max("n").alias("top"), F.sum("n").alias("total")
         )
     else:
-        texts = {name: as_text(df, name) for name in df.columns}
+        texts = {name: short_form(as_text(df, name)) for name in df.columns}
         sketch = metrics_by_name(
             df,
             df.columns,
@@ -106,11 +116,18 @@ def near_zero_variance(
 ) -> DataFrame:
     """Columns whose top value dwarfs the second, or with few distinct values per row.
 
-    Ties for the most common value go to the smallest text. Ranking keeps two counts per
-    column and task before anything is shuffled for it.
+    Ties for the most common value go to the smallest text (for long texts: digest). Ranking
+    keeps two counts per column and task before anything is shuffled for it.
     """
     names = list(columns or numeric_columns(df, skip) + categorical_columns(df, skip))
-    counts = value_counts(df, names)
+    if not names:
+        return df.sparkSession.createDataFrame([], _NZV_SCHEMA)
+    counts = (
+        values_long(df, names)
+        .select("column_name", short_form(F.col("value")).alias("value"))
+        .groupBy("column_name", "value")
+        .agg(F.count("*").alias("n"))
+    )
     ranked = counts.withColumn(
         "place",
         F.row_number().over(
@@ -127,7 +144,7 @@ def near_zero_variance(
     )
     ratio = F.col("most") / F.col("second")
     percent = F.col("n_unique") / F.col("n_rows") * 100
-    return (
+    flagged = (
         top.join(totals, "column_name")
         .where(F.col("second").isNotNull() & ((ratio > freq_cut) | (percent < unique_cut)))
         .select(
@@ -136,4 +153,36 @@ def near_zero_variance(
             F.round(percent, 3).alias("percent_unique"),
             "most_common_value",
         )
+        .collect()  # at most one record per column
+    )
+    digests = {
+        r["column_name"]: r["most_common_value"]
+        for r in flagged
+        if r["most_common_value"] is not None and len(r["most_common_value"]) == 64
+    }
+    texts = _texts_of(df, digests)
+    rows = [
+        (*tuple(r)[:3], texts.get(r["column_name"], r["most_common_value"])) for r in flagged
+    ]
+    return df.sparkSession.createDataFrame(rows, _NZV_SCHEMA)
+
+
+_NZV_SCHEMA = (
+    "column_name string, freq_ratio double, percent_unique double, most_common_value string"
+)
+
+
+def _texts_of(df: DataFrame, digests: dict[str, str]) -> dict[str, str]:
+    """The text behind the short form of one value per column."""
+    if not digests:
+        return {}
+    found = metrics_by_name(
+        df,
+        list(digests),
+        {
+            "text": lambda c: F.max(
+                F.when(short_form(as_text(df, c)) == digests[c], as_text(df, c))
+            )
+        },
     )
+    return {r["column_name"]: r["text"] for r in found.collect()}

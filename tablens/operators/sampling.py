@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import columns_where, is_datetime, quoted
-from .frequencies import approximate_counts, distinct_counts
+from .frequencies import bounded_counts
 from .order import file_index, global_index
 
 SEED = 42
@@ -51,23 +51,11 @@ def systematic_sample(
     return df.join(keys, match, "left_semi")
 
 
-def _strata(df: DataFrame, columns: Sequence[str], max_rows: int) -> dict[str, int]:
-    """Distinct values per column, null included: exact as far as they decide a sample.
-
-    A sketch sorts out the columns with so many values that every stratum gives one row.
-    """
-    near = approximate_counts(df, columns)
-    exact = [c for c in columns if near[c] <= 4 * max(max_rows, FEW_VALUES)]
-    if exact:
-        near |= {r["column_name"]: r["n_unique"] for r in distinct_counts(df, exact).collect()}
-    return near
-
-
 def stratum_candidates(df: DataFrame, max_rows: int) -> list[tuple[str, int]]:
     """Text columns and columns of fewer than 20 values, fewest distinct values first."""
     texts = set(columns_where(df, lambda t: isinstance(t, T.StringType)))
     usable = columns_where(df, lambda t: not isinstance(t, (T.ArrayType, T.StructType, T.MapType)))
-    counts = _strata(df, usable, max_rows)
+    counts = bounded_counts(df, usable, max(max_rows, FEW_VALUES))
     found = [(c, counts[c]) for c in usable if c in texts or counts[c] < FEW_VALUES]
     return sorted(found, key=lambda item: item[1])
 
@@ -90,7 +78,8 @@ def stratified_sample(
             return df.limit(0)
         column, strata = candidates[0]
     else:
-        strata = _strata(df, [column], max_rows)[column]
+        # above max_rows every stratum gives one row, so an approximate count will do
+        strata = bounded_counts(df, [column], max_rows)[column]
     per_stratum = max(1, max_rows // max(1, strata))
     place = F.row_number().over(W.partitionBy(quoted(column)).orderBy("__draw"))
     return (

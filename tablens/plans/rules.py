@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.columns import categorical_columns, datetime_columns, numeric_columns
 from ..operators.correlation import strong_correlations
-from ..operators.frequencies import distinct_counts
+from ..operators.frequencies import bounded_counts
 from ..operators.indexes import detect_index_columns
 from ..operators.kruskal import kruskal_ranking
 from ..operators.summary import top_variance_columns
@@ -32,18 +32,14 @@ def auto_plan(df: DataFrame, skip: Sequence[str] | None = None) -> list[dict]:
     top = [r["column_name"] for r in top_variance_columns(df, 2, numeric).collect()] if numeric else []
     for c in top:
         add("histogram", c)
-    sizes = (
-        {r["column_name"]: r["n_unique"] for r in distinct_counts(df, categories).collect()}
-        if categories
-        else {}
-    )
+    sizes = bounded_counts(df, categories, BAR_CATEGORIES)
     for c in categories:
-        if sizes.get(c, 0) <= BAR_CATEGORIES:
+        if sizes[c] <= BAR_CATEGORIES:
             add("bar", c)
     for t in times if top else []:
         add("line", t, top[0])
     for c in categories if numeric else []:
-        if sizes.get(c, 0) <= BOX_CATEGORIES:
+        if sizes[c] <= BOX_CATEGORIES:
             for row in kruskal_ranking(df, c, numeric).collect():
                 add("box", c, row["column_name"])
     if len(numeric) > 1:

@@ -31,4 +31,6 @@ def file_heads(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "head": batch["path"].map(read_range)})
 
-    return files.select("path").mapInPandas(read, "path string, head binary")
+    # the scan makes a task per 128 MB of files, though only their heads are read
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    return files.select("path").coalesce(tasks).mapInPandas(read, "path string, head binary")

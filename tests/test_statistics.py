@@ -188,3 +188,21 @@ def test_file_index_counts_rows_in_scan_order(spark, sf, tmp_path):
     spark.range(0, 5000, 1, 4).write.parquet(path)
     indexed = order.file_index(spark.read.parquet(path)).toPandas()
     assert sorted(indexed["row_index"]) == list(range(5000))
+
+
+def test_long_texts_are_counted_by_digest_but_shown_whole(spark):
+    long = "word " * 100
+    rows = [(long, f"{i} " * 80) for i in range(95)] + [("short", "x" * 64)] * 5
+    df = spark.createDataFrame(rows, "common string, varied string")
+    got = {r["column_name"]: r for r in frequencies.near_zero_variance(df).collect()}
+    assert got["common"]["most_common_value"] == long and got["common"]["freq_ratio"] == 19.0
+    assert "varied" not in got
+    assert frequencies.distinct_counts(df, df.columns).where("column_name = 'varied'").first()["n_unique"] == 96
+    top = frequencies.constant_columns(df).collect()
+    assert [tuple(r) for r in top] == [("common", 0.95)]
+
+
+def test_bounded_counts(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("many"), F.when(F.col("id") % 3 > 0, F.lit("a")).alias("few"))
+    got = frequencies.bounded_counts(df, ["many", "few"], 10)
+    assert got["few"] == 2 and abs(got["many"] - 5000) < 500
