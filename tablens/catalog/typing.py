@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import typing
+from ..operators.columns import spread
 from ..sources.columnar import normalize_nulls_exact
 from ..sources.delimited import normalize_nulls_text
 from .base import long_sql, query, select_sql, table
@@ -32,7 +33,7 @@ _NUMBER = "'^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$'"
 
 
 def dirty(spark, sf):
-    return table(spark, sf, "lineitem").selectExpr(*DIRTY)
+    return spread(table(spark, sf, "lineitem")).selectExpr(*DIRTY)
 
 
 _SHOWN = ("status", "code", "shipped")

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .columns import chunks, quoted, union_all
+from .columns import chunks, quoted, spread, union_all
 
 # Value-to-rank tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_RANKS = 200_000
@@ -73,13 +73,12 @@ def file_index(df: DataFrame, name: str = "row_index") -> DataFrame:
 def long_counts(df: DataFrame, values: dict[str, Column], *keys: str) -> DataFrame:
     """``(name, *keys, value, n)`` of non-null values of several numeric expressions."""
     names = list(values)
+    df = spread(df.select(*keys, *[values[n].alias(f"v{i}") for i, n in enumerate(names)]))
     frames = []
     for group in chunks(names, 200):
         frames.append(
-            df.select(*keys, *[values[n].alias(f"v{names.index(n)}") for n in group])
-            .unpivot(
-                list(keys), [f"v{names.index(n)}" for n in group], "id", "value"
-            )
+            df.select(*keys, *[f"v{names.index(n)}" for n in group])
+            .unpivot(list(keys), [f"v{names.index(n)}" for n in group], "id", "value")
             .where(F.col("value").isNotNull())
         )
     label = F.element_at(F.lit(names), F.substring("id", 2, 9).cast("int") + 1)
