@@ -1,6 +1,7 @@
 """Exact order statistics of many numeric columns without sorting the table.
 
-1. A mergeable quantile sketch brackets every wanted rank (one scan, no shuffle of rows).
+1. A mergeable quantile sketch, of a sample when the table is large, guesses a bracket for
+   every wanted rank (no shuffle of rows).
 2. Counting the values below and inside each bracket proves the bracket (one scan).
    While a bracket holds more than ``CANDIDATES`` values, it is sketched again from the
    inside; each round divides it by several hundred.
@@ -23,6 +24,9 @@ from .columns import chunks
 
 SKETCH_ACCURACY = 1000
 CANDIDATES = 1_000_000
+# Rows the first brackets are guessed from, and the smallest share of a large table to take.
+SAMPLED_ROWS = 200_000
+SMALLEST_SHARE = 0.001
 TARGETS_PER_PASS = 30
 
 
@@ -97,35 +101,47 @@ def quantiles(
 
 
 def _first_sketch(df, values, probabilities):
-    """Sizes, and for every probability a bracket that should hold its order statistic."""
-    margin = 2.5 / SKETCH_ACCURACY
-    wanted = [
-        p for q in probabilities for p in (max(0.0, q - margin), min(1.0, q + margin))
-    ]
+    """Sizes, and for every probability a bracket that should hold its order statistic.
+
+    Large tables are sketched from a sample, with brackets widened by its error. A bracket is
+    a guess either way: the exact counts that follow prove or reject it.
+    """
+    keys = list(values)
     sizes: dict[str, int] = {}
-    brackets: dict[str, list] = {}
-    for group in chunks(list(values), TARGETS_PER_PASS // 2):
+    ends: dict[str, tuple] = {}
+    rows = 0
+    for group in chunks(keys, TARGETS_PER_PASS // 2):
         row = df.agg(
+            F.count("*").alias("rows"),
             *[F.count(values[k]).alias(f"n{i}") for i, k in enumerate(group)],
             *[F.min(values[k]).alias(f"lo{i}") for i, k in enumerate(group)],
             *[F.max(values[k]).alias(f"hi{i}") for i, k in enumerate(group)],
+        ).first()
+        rows = row["rows"]
+        for i, key in enumerate(group):
+            sizes[key], ends[key] = row[f"n{i}"], (row[f"lo{i}"], row[f"hi{i}"])
+    share = max(SAMPLED_ROWS / max(rows, 1), SMALLEST_SHARE)
+    sampled = df.sample(share, seed=1) if share < 0.5 else df
+    brackets: dict[str, list] = {}
+    for group in chunks([k for k in keys if sizes[k]], TARGETS_PER_PASS // 2):
+        wanted = {}
+        for key in group:
+            error = 0.0 if sampled is df else 2.0 / math.sqrt(sizes[key] * share)
+            margin = 2.5 / SKETCH_ACCURACY + error
+            wanted[key] = [(max(0.0, q - margin), min(1.0, q + margin)) for q in probabilities]
+        row = sampled.agg(
             *[
-                F.percentile_approx(values[k], wanted, SKETCH_ACCURACY).alias(f"q{i}")
+                F.percentile_approx(values[k], [p for pair in wanted[k] for p in pair], SKETCH_ACCURACY).alias(f"q{i}")
                 for i, k in enumerate(group)
-            ],
+            ]
         ).first()
         for i, key in enumerate(group):
-            sizes[key] = row[f"n{i}"]
-            points = row[f"q{i}"]
-            if not sizes[key]:
-                continue
+            low, high = ends[key]
+            points = row[f"q{i}"] or [low, high] * len(probabilities)
             brackets[key] = [
-                (
-                    row[f"lo{i}"] if wanted[2 * j] == 0.0 else points[2 * j],
-                    row[f"hi{i}"] if wanted[2 * j + 1] == 1.0 else points[2 * j + 1],
-                )
-                for j in range(len(probabilities))
-            ] + [(row[f"lo{i}"], row[f"hi{i}"])]
+                (low if p == 0.0 else points[2 * j], high if r == 1.0 else points[2 * j + 1])
+                for j, (p, r) in enumerate(wanted[key])
+            ] + [ends[key]]
     return sizes, brackets
 
 

@@ -43,6 +43,19 @@ def test_quantiles_narrow_wide_brackets(spark, monkeypatch):
     assert got == [np.sort(data)[math.floor((len(data) - 1) * q + 0.5)] for q in (0.1, 0.5, 0.9)]
 
 
+@pytest.mark.parametrize("sampled_rows", [1, 40, 500])
+def test_quantiles_do_not_depend_on_the_sample(spark, monkeypatch, sampled_rows):
+    """Brackets guessed from a few rows are rejected by the counts when they miss."""
+    monkeypatch.setattr(quantiles, "SAMPLED_ROWS", sampled_rows)
+    rng = np.random.default_rng(11)
+    frame = pd.DataFrame({"a": rng.standard_cauchy(4000), "b": np.where(rng.random(4000) < 0.99, np.nan, 1.0) * rng.random(4000)})
+    df = spark.createDataFrame(frame).replace(float("nan"), None)
+    got = quantiles.quantiles(df, {c: F.col(c) for c in frame}, (0.25, 0.5, 0.75))
+    for c in frame:
+        ordered = np.sort(frame[c].dropna())
+        assert got[c] == [ordered[math.floor((len(ordered) - 1) * q + 0.5)] for q in (0.25, 0.5, 0.75)]
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert quantiles.quantiles(df, {"v": F.col("v")}, (0.5,)) == {"v": [None]}
