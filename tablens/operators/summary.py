@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from .columns import (
     as_number,
     as_text,
-    collect_metrics,
     metrics_by_name,
     numeric_columns,
     quoted,
