@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe
+from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .language import language_id
 from .line_dedup import line_dedup
 from .sharding import shard
+from .token_counts import count_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +31,43 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", F.col("removed_lines").cast("long").alias("removed_lines"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op8_sharding": op8_sharding, "op9_line_dedup": op9_line_dedup}
+def held_out():
+    """Documents that language identification may not learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id(table(spark, sf_dir, "documents"), ~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op4_bpe": op4_bpe,
+    "op7_token_counts": op7_token_counts,
+    "op8_sharding": op8_sharding,
+    "op9_line_dedup": op9_line_dedup,
+}
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
