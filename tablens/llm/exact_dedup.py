@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 
-TRACKED = 4096  # counters of a Misra-Gries summary
-HEAVY = 1000  # digests that a summary may name; the broadcast has at most so many rows
-SUMMARIES = 64  # summaries of the first level
+HEAVY = 1000  # counters of a Misra-Gries summary; the broadcast has at most so many rows
 
 
 def normal_text(text: Column) -> Column:
@@ -18,18 +16,12 @@ def normal_text(text: Column) -> Column:
 
 
 def frequent(digests: DataFrame, column: str) -> DataFrame:
-    """At most ``HEAVY`` values that may be frequent, by mergeable Misra-Gries summaries.
+    """At most ``HEAVY`` values, among them all with more than a ``HEAVY``-th of the rows.
 
-    Each task summarises its rows in ``TRACKED`` counters; only the counters travel, in two levels.
+    Each task summarises its rows in ``HEAVY`` Misra-Gries counters, and only these travel.
     """
-    part = f"approx_top_k_accumulate({column}, {TRACKED})"
-    return (
-        digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUMMARIES)).alias("part"))
-        .agg(F.expr(part).alias("state"))
-        .agg(F.expr(f"approx_top_k_combine(state, {TRACKED})").alias("state"))
-        .select(F.explode(F.expr(f"approx_top_k_estimate(state, {HEAVY})")).alias("top"))
-        .select(F.col("top.item").alias(column))
-    )
+    named = digests.stat.freqItems([column], 1 / HEAVY)
+    return named.select(F.explode(f"{column}_freqItems").alias(column))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

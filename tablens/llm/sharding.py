@@ -63,7 +63,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     )
     local = W.partitionBy("part", "shard").orderBy(*order)
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
+    offsets = cut(
         dealt.groupBy("part", "shard")
         .count()
         .withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
