@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_BITS = 64
+BITMAP_ROWS = 1 << 18  # words of a bitmap
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

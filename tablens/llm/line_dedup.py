@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .common import bitmap_of, in_bitmap, let
+from .common import BITMAP_ROWS, bitmap_of, in_bitmap, let
 
 MASK = 2  # a boundary after every second line on average
 LONG_WORDS = 50  # a line of so many words is a chunk by itself
 LEAST_WORDS = 8  # chunks with fewer words stay
-BITMAP_WORDS = 1 << 18
 
 
 def line_hash(line: Column) -> Column:
@@ -101,8 +100,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = occurrences(docs, id_col, text_col)
     repeated = found.groupBy("hash").count().where("count > 1")
-    bitmap = cut(bitmap_of(repeated, "hash", BITMAP_WORDS))
-    again = in_bitmap(found, "hash", bitmap, BITMAP_WORDS)
+    bitmap = cut(bitmap_of(repeated, "hash", BITMAP_ROWS))
+    again = in_bitmap(found, "hash", bitmap, BITMAP_ROWS)
     place = F.struct("doc", "first")
     settled = cut(
         again.groupBy("hash", "chunk")  # grouping compares the bytes

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .language import language_id
 from .line_dedup import line_dedup
 from .sharding import shard
@@ -59,6 +60,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 OP2_SQL = r"""
