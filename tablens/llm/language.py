@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GRAMS = (1, 2, 3, 4)  # the blended spectrum
 SPACE = 1 << 15  # hashed n-grams; a text is a set of them
@@ -112,22 +113,13 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Mod
     return fit(np.array([np.frombuffer(r.bits, np.uint8) for r in rows]), [r.lang for r in rows])
 
 
-def language_id(
+def with_language(
     docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """``(doc_id, lang_pred, score)``, one row per document.
-
-    Learns from the rows where ``training`` holds and text and language are given. Predictions read
-    nothing but the whole text. Null texts and texts without a letter are ``und`` with score 0, as
-    is all text if nothing can be learned; null ids pass through; an empty table gives no rows.
-    ``score`` is the regression value of the language, kept within 0 and 1. Equal values go to the
-    language that comes first by name.
-
-    A text is the set of its n-grams, hashed to ``SPACE`` places; landmarks and weights are
-    broadcast and have a fixed size. Batches of texts are scored by two matrix products.
-    """
+    """``docs`` with the columns ``lang_pred`` and ``score``; see ``language_id``."""
     labelled = docs.where(training & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     shared = docs.sparkSession.sparkContext.broadcast(learn(labelled, id_col, text_col, lang_col))
+    place = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -138,22 +130,37 @@ def language_id(
             names: list[str] = []
             scores: list[float] = []
             for start in range(0, batch.num_rows, BATCH):
-                texts = batch.column(1).slice(start, BATCH)
+                texts = batch.column(place).slice(start, BATCH)
                 room[:] = 0
                 letters = [spectrum(x.as_py() or "", room[k]) for k, x in enumerate(texts)]
-                if not model.languages:
-                    letters = [False] * len(letters)
-                    values = np.zeros((len(letters), 1))
-                else:
+                if model.languages:
                     values = kernel(room[: len(letters)], marks, norms) @ weights[:-1] + weights[-1]
+                else:
+                    letters, values = [False] * len(letters), np.zeros((len(letters), 1))
                 for known, row in zip(letters, values):
                     best = int(row.argmax())
                     names.append(model.languages[best] if known else "und")
                     scores.append(float(min(1.0, max(0.0, row[best]))) if known else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "lang_pred", "score"],
-            )
+            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(predict, schema)
+
+
+def language_id(
+    docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """``(doc_id, lang_pred, score)``, one row per document.
+
+    Learns from the rows where ``training`` holds and text and language are given. Predictions read
+    nothing but the whole text. Null texts and texts without a letter are ``und`` with score 0, as
+    is all text if nothing can be learned; null ids pass through; an empty table gives no rows.
+    ``score`` is the regression value of the language, kept within 0 and 1. Equal values go to the
+    language that comes first by name.
+
+    A text is the set of its n-grams, hashed to ``SPACE`` places; landmarks and weights are
+    broadcast and have a fixed size. Batches of texts are scored by two matrix products.
+    """
+    found = with_language(docs.select(id_col, text_col, lang_col), training, id_col, text_col, lang_col)
+    return found.select(F.col(id_col).alias("doc_id"), "lang_pred", "score")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .bpe import bpe
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .jaccard_join import jaccard_join
 from .language import language_id
+from .licenses import scan_licenses
 from .line_dedup import line_dedup
 from .sharding import shard
 from .token_counts import count_tokens
@@ -64,11 +66,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
