@@ -94,4 +94,32 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (
+  SELECT doc_id, i, lines[i] AS line,
+         CAST('0x' || substr(md5(lines[i]), 1, 8) AS BIGINT) AS h,
+         length(lines[i]) - length(replace(lines[i], ' ', '')) + 1 AS words, len(lines) AS n
+  FROM d, unnest(generate_series(1, len(lines))) AS u(i)
+),
+e AS (
+  SELECT *, i = n OR (xor(h, coalesce(lag(h) OVER w, 0) * 2) >> 5) % 2 = 0 OR words >= 50
+         OR coalesce(lead(words) OVER w >= 50, false) AS stop
+  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+c AS (SELECT *, coalesce(sum(CAST(stop AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
+p AS (
+  SELECT doc_id, k, min(i) AS start, max(i) AS stop, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, k
+),
+q AS (
+  SELECT *, (stop > start OR length(chunk) - length(replace(chunk, ' ', '')) + 1 >= 50)
+         AND length(chunk) - length(replace(chunk, ' ', '')) + 1 >= 8 AS able FROM p
+),
+r AS (SELECT *, able AND row_number() OVER (PARTITION BY chunk, able ORDER BY doc_id, start) > 1 AS gone FROM q)
+SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text,
+       CAST(coalesce(sum(stop - start + 1) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines
+FROM r GROUP BY doc_id
+UNION ALL SELECT doc_id, text, 0 FROM documents WHERE text IS NULL
+"""
+
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op9_line_dedup": OP9_SQL}
