@@ -110,13 +110,15 @@ def route(docs: DataFrame, text_col: str) -> DataFrame:
             first = np.r_[True, signs[1:] != signs[:-1]]
             heads = owners[first][np.cumsum(first) - 1]
             links = np.unique(np.c_[owners[~first], heads[~first]], axis=0)
-            yield batch_of(signs[first], owners[first], owners[first])
+            signs, owners = signs[first], owners[first]
+            order = np.argsort(owners, kind="stable")  # runs of one owner take little room in the shuffle
+            yield batch_of(signs[order], owners[order], None)
             if len(links):
                 yield batch_of(None, links[:, 0].copy(), links[:, 1].copy())
 
     def batch_of(sign, a, b) -> pa.RecordBatch:
-        signs = pa.nulls(len(a), pa.int64()) if sign is None else pa.array(sign)
-        return pa.RecordBatch.from_arrays([signs, pa.array(a), pa.array(b)], ["sign", "a", "b"])
+        signs, others = (pa.nulls(len(a), pa.int64()) if x is None else pa.array(x) for x in (sign, b))
+        return pa.RecordBatch.from_arrays([signs, pa.array(a), others], ["sign", "a", "b"])
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sign, last_head = None, None
@@ -134,12 +136,12 @@ def route(docs: DataFrame, text_col: str) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one shuffle: local links go along under their own key
     key = F.coalesce("sign", F.xxhash64("a", "b"))
-    dealt = sent.select(key.alias("sign"), "a", "b", F.col("sign").isNull().alias("link")).repartition(parts, "sign")
+    dealt = sent.select(key.alias("sign"), "a", "b").repartition(parts, "sign")
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def signs() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                links = batch.column(3)
+                links = batch.column(2).is_valid()
                 found = batch.filter(links).select(["a", "b"])
                 if found.num_rows:
                     ready.append(found)
