@@ -33,10 +33,15 @@ BAND = 0.03
 
 # ---- histogram and density -----------------------------------------------------------
 
+def finite(value: Column) -> Column:
+    """Infinite values as null: they have no bin."""
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def _histogram(df: DataFrame, values: dict[str, Column], bins: int) -> DataFrame:
     names = list(values)
     limits = collect_metrics(
-        df, names, {"low": lambda c: F.min(values[c]), "high": lambda c: F.max(values[c])}
+        df, names, {"low": lambda c: F.min(finite(values[c])), "high": lambda c: F.max(finite(values[c]))}
     )
     names = [c for c in names if limits[c]["low"] is not None]
     if not names:
@@ -46,8 +51,9 @@ def _histogram(df: DataFrame, values: dict[str, Column], bins: int) -> DataFrame
     record = [
         F.struct(
             F.lit(c).alias("column_name"),
-            histogram_bin(
-                values[c], F.lit(limits[c]["low"]), F.lit(limits[c]["high"]), bins
+            F.when(
+                finite(values[c]).isNotNull(),
+                histogram_bin(values[c], F.lit(limits[c]["low"]), F.lit(limits[c]["high"]), bins),
             ).alias("bin"),
         )
         for c in names

@@ -35,8 +35,8 @@ def systematic_sample(
 ) -> DataFrame:
     """Rows 0, step, 2·step, … with ``step = max(1, rows // max_rows)``.
 
-    ``order_by`` must identify rows: only these columns are sorted, and the few chosen
-    positions are matched back to the table. Without it, rows keep their scan order and
+    Only the columns of ``order_by`` are sorted, and the few chosen positions are matched back
+    to the table; rows that tie are taken by a hash of the row, as many as were chosen. Without it, rows keep their scan order and
     nothing is shuffled.
     """
     step = max(1, df.count() // max_rows)
@@ -44,11 +44,20 @@ def systematic_sample(
     if not order_by:
         return file_index(df).where(wanted).drop("row_index")
     chosen = global_index(df, order_by).where(wanted).drop("row_index")
-    keys = chosen.select(*[quoted(c).alias(f"__k{i}") for i, c in enumerate(order_by)])
+    names = [f"__k{i}" for i in range(len(order_by))]
+    keys = chosen.select(*[quoted(c).alias(n) for c, n in zip(order_by, names)])
+    keys = keys.groupBy(*names).agg(F.count("*").alias("__taken"))
     if max_rows <= BROADCAST_KEYS:  # fewer than 2 * max_rows keys
         keys = F.broadcast(keys)
     match = [quoted(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(order_by)]
-    return df.join(keys, match, "left_semi")
+    # of rows that tie on the order, as many as were chosen
+    ties = W.partitionBy(*names).orderBy(F.xxhash64(*[quoted(c) for c in df.columns]))
+    return (
+        df.join(keys, match)
+        .withColumn("__place", F.row_number().over(ties))
+        .where(F.col("__place") <= F.col("__taken"))
+        .drop(*names, "__taken", "__place")
+    )
 
 
 def stratum_candidates(df: DataFrame, max_rows: int) -> list[tuple[str, int]]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -43,8 +45,10 @@ class Task:
         if plot not in PLOT_TYPES:
             raise ConfigurationError(f"unknown plot type {plot!r}; known: {', '.join(PLOT_TYPES)}")
         steps = spec.get("preprocessing") or ()
-        if isinstance(steps, (str, Mapping)):
-            steps = () if isinstance(steps, str) else (steps,)
+        if isinstance(steps, str):
+            steps = _spoken_steps(steps, tuple(spec.get("columns", ())))
+        elif isinstance(steps, Mapping):
+            steps = (steps,)
         return Task(
             name=spec["name"],
             plot_type=plot,
@@ -64,15 +68,37 @@ def run_tasks(df: DataFrame, tasks: str | Sequence[Mapping | Task]) -> dict[str,
     results = {}
     for spec in tasks:
         task = spec if isinstance(spec, Task) else Task.of(spec)
-        results[task.name] = run_task(df, task)
+        try:
+            results[task.name] = run_task(df, task)
+        except UnknownColumnsError as error:
+            warnings.warn(f"task {task.name} is skipped: {error}", stacklevel=2)
     return results
 
 
+def _spoken_steps(words: str, columns: tuple[str, ...]) -> tuple[Mapping, ...]:
+    """Steps named in plain words, over the task's columns; words that need values are refused."""
+    steps: list[Mapping] = []
+    for word in filter(None, (w.strip().lower() for w in re.split(r"[,;]", words))):
+        if word in ("dropna", "drop nulls", "drop missing values"):
+            steps.append({"dropna": columns})
+        elif word in ("coerce", "dtype conversion", "to numeric"):
+            steps.append({"coerce": columns})
+        elif word != "none":
+            raise ConfigurationError(f"unknown preprocessing {word!r}; known: dropna, coerce, dtype conversion")
+    return tuple(steps)
+
+
+class UnknownColumnsError(ConfigurationError):
+    """None of a task's columns is in the table."""
+
+
 def run_task(df: DataFrame, task: Task) -> DataFrame:
     """Preprocess, then build the task's chart data. Columns that do not exist are skipped."""
     for step in task.preprocessing:
         df = _apply(df, step)
     columns = [c for c in task.columns if c in df.columns]
+    if task.columns and not columns:
+        raise UnknownColumnsError(f"no column {', '.join(task.columns)}")
     return _PLOTS[task.plot_type](df, columns or list(df.columns), task)
 
 
@@ -143,7 +169,7 @@ def _numbers(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def _histogram(df, columns, task):
-    return charts.histogram(df, _numbers(df, columns)[:1], task.options.get("bins", 25))
+    return charts.histogram(df, _numbers(df, columns), task.options.get("bins", 25))
 
 
 def _line(df, columns, task):

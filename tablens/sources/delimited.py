@@ -61,7 +61,9 @@ def read_delimited(
     """
     try:
         found = (
-            detect_dialects(spark, path, encoding)
+            detect_dialects(
+                spark, path, encoding, sep, None if quote_char is None else (quote_char or "")
+            )
             .where(F.size("first_row") > 0)
             .select(
                 "path",

@@ -32,32 +32,38 @@ def _sniff(text: str) -> tuple[str, str]:
     return ",", '"'
 
 
-def _describe(head: bytes, encoding: str) -> tuple:
+def _describe(head: bytes, encoding: str, given_sep: str | None, given_quote: str | None) -> tuple:
     text = head.decode(encoding, errors="replace").lstrip("\ufeff")
     sample = text[:SNIFFED_CHARACTERS]
     if len(text) > len(sample) and "\n" in sample:
         sample = sample[: sample.rindex("\n") + 1]
-    sep, quote = _sniff(sample)
+    sep, quote = _sniff(sample.lstrip("\r\n"))
+    sep = given_sep or sep
+    quote = quote if given_quote is None else given_quote
     dialect = {"quotechar": quote} if quote else {"quoting": csv.QUOTE_NONE}
     rows = csv.reader(io.StringIO(text, newline=""), delimiter=sep, **dialect)
-    first, second = ([v or None for v in next(rows, [])] for _ in range(2))
+    filled = (row for row in rows if row)  # blank lines are no records, as in Spark's reader
+    first, second = ([v or None for v in next(filled, [])] for _ in range(2))
     return sep, quote, first, second
 
 
-def detect_dialects(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+def detect_dialects(
+    spark: SparkSession, path: str, encoding: str = "utf-8", sep: str | None = None, quote: str | None = None
+) -> DataFrame:
     """``(path, sep, quote, header, first_row, second_row)`` of every file below ``path``.
 
-    The delimiter is found first, so that the header test sees the real columns.
+    The delimiter is found first, so that the header test sees the real columns. A given
+    delimiter or quote character (empty for none) takes the place of the one that is found.
     """
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_describe(head, encoding) for head in batch["head"]]
+            found = [_describe(head, encoding, sep, quote) for head in batch["head"]]
             frame = pd.DataFrame(found, columns=["sep", "quote", "first_row", "second_row"])
             frame.insert(0, "path", batch["path"].values)
             yield frame
 
-    rows = file_heads(spark, path).mapInPandas(describe, _HEAD_SCHEMA)
+    rows = file_heads(spark, path, lines=2).mapInPandas(describe, _HEAD_SCHEMA)
     return rows.withColumn("header", header_test(F.col("first_row"), F.col("second_row")))
 
 

@@ -94,3 +94,21 @@ def test_auto_plan_runs(sales):
     assert all("id" not in t["columns"] for t in tasks)
     for result in run_tasks(sales, tasks).values():
         assert result.count() > 0
+
+
+def test_spoken_preprocessing_and_unknown_columns(spark):
+    import pytest
+
+    from tablens.errors import ConfigurationError
+    from tablens.plans.tasks import run_tasks
+
+    df = spark.createDataFrame([("a", 1.0), (None, 2.0), ("b", None)], "k string, v double")
+    tasks = [
+        {"name": "bar", "plot_type": "bar", "columns": ["k", "v"], "preprocessing": "dropna"},
+        {"name": "lost", "plot_type": "bar", "columns": ["nope"]},
+    ]
+    with pytest.warns(UserWarning, match="lost"):
+        got = run_tasks(df, tasks)
+    assert list(got) == ["bar"] and [r.category for r in got["bar"].collect()] == ["a"]
+    with pytest.raises(ConfigurationError):
+        run_tasks(df, [{"name": "x", "plot_type": "bar", "columns": ["k"], "preprocessing": "make it nice"}])

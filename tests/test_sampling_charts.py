@@ -134,3 +134,17 @@ def test_regression(spark):
     ratio = (band["band_high"] - band["band_low"]) / (2 * 1.96 * error)
     assert ratio.between(0.8, 1.2).all()
     assert charts.regression_band(df, "c", "y").count() == 0
+
+
+def test_systematic_sample_with_ties(spark):
+    from tablens.operators.sampling import systematic_sample
+
+    df = spark.range(1000).selectExpr("id", "id % 3 AS day")
+    assert systematic_sample(df, 100, ["day"]).count() == 100
+
+
+def test_histogram_leaves_out_infinities(spark):
+    from tablens.operators.charts import histogram
+
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("inf"),)], "v double")
+    assert sum(r.n for r in histogram(df, ["v"], 2).collect()) == 3

@@ -292,3 +292,30 @@ def test_markdown(spark, tmp_path):
     assert sections.first()["section"] == "## a\n\n- n: 1\n- m: n/a\n\n---\n"
     path = reports.write_markdown(sections, str(tmp_path / "report"))
     assert spark.read.text(path, wholetext=True).first()["value"].startswith("# Analysis report\n")
+
+
+def _write(folder, files):
+    for name, text in files.items():
+        (folder / name).write_text(text)
+    return str(folder)
+
+
+from tablens.sources.delimited import read_delimited  # noqa: E402
+
+
+def test_given_separator_rules_names_and_header(spark, tmp_path):
+    path = _write(tmp_path, {"a.csv": "id|a, b|c|d\n1|x, y|z|w\n2|p, q|r|s\n"})
+    got = read_delimited(spark, path, sep="|")
+    assert got.columns == ["id", "a, b", "c", "d"] and got.count() == 2
+
+
+def test_blank_first_line_in_a_mixed_folder(spark, tmp_path):
+    files = {"a.csv": "id,v\n1,x\n2,y\n", "b.csv": "\nid,v\n3,x\n4,y\n", "c.csv": "id;v\n5;x\n6;y\n"}
+    got = read_delimited(spark, _write(tmp_path, files))
+    assert sorted(r.id for r in got.collect()) == list("123456")
+
+
+def test_header_longer_than_the_head(spark, tmp_path):
+    names = [f"a_rather_long_name_{k}" for k in range(4000)]
+    text = ",".join(names) + "\n" + ",".join(map(str, range(4000))) + "\n"
+    assert len(read_delimited(spark, _write(tmp_path, {"a.csv": text})).columns) == 4000
