@@ -252,8 +252,8 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None = None) ->
     return links
 
 
-def join_blocks(sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between keys of ``sets``: ``(label, key, n, tokens)``.
+def join_blocks(sets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between keys of ``sets`` ``(label, key, n)`` with ``tokens`` ``(key, tokens)``.
 
     Sets of one label may be linked. A label too large for one tree is split by size, then by hash,
     into blocks, and blocks of the same or neighbouring sizes meet in pairs.
@@ -263,7 +263,7 @@ def join_blocks(sets: DataFrame) -> DataFrame:
     wide = cut(sizes.where(F.col("load") > BLOCK_LOAD).select("label"))
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT) + 0.01)).cast("int")
     few = sets.join(wide, "label", "left_anti").select(
-        "label", "key", "n", "tokens", F.lit("0").alias("pair"), F.lit(False).alias("second")
+        "label", "key", "n", F.lit("0").alias("pair"), F.lit(False).alias("second")
     )
     many = sets.join(wide, "label").withColumn("step", step)
     blocks = cut(many.groupBy("label", "step").agg(F.ceil(load / BLOCK_LOAD).cast("int").alias("blocks")))
@@ -287,7 +287,7 @@ def join_blocks(sets: DataFrame) -> DataFrame:
                 pairs("down", lambda k: F.concat_ws(":", F.lit("next"), F.col("step") - 1, k, own), lambda k: F.lit(True)),
             )
         ),
-    ).select("label", "key", "n", "tokens", "to.pair", "to.second")
+    ).select("label", "key", "n", "to.pair", "to.second")
 
     def join(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n", "ascending"), ("key", "ascending")])
@@ -306,7 +306,11 @@ def join_blocks(sets: DataFrame) -> DataFrame:
             }
         )
 
-    return few.unionByName(spread).groupBy("label", "pair").applyInArrow(join, "a binary, b binary")
+    places = few.unionByName(spread).groupBy("key").agg(F.collect_list(F.struct("label", "n", "pair", "second")).alias("places"))
+    # the sets of copies come in turn; one of each key goes on to its places
+    one = places.join(tokens, "key").groupBy("key").agg(F.first("places").alias("places"), F.first("tokens").alias("tokens"))
+    dealt = one.select("key", "tokens", F.explode("places").alias("to")).select("to.*", "key", "tokens")
+    return dealt.groupBy("label", "pair").applyInArrow(join, "a binary, b binary")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,11 +361,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = cut(docs.select(id_col, text_col).mapInArrow(read, schema))
     sets = (
         base.where("tokens is not null")
+        .select("node", "key", F.col("n_shingles").alias("n"))
+        .distinct()
         .join(nodes, "node")
-        .groupBy("key")
-        .agg(F.first("component").alias("label"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+        .select(F.col("component").alias("label"), "key", "n")
     )
-    joined = cut(components(join_blocks(cut(sets))))
+    tokens = base.where("tokens is not null").select("key", "tokens")
+    joined = cut(components(join_blocks(cut(sets), tokens)))
     named = base.select("doc_id", "n_shingles", "key").join(
         joined.withColumnRenamed("node", "key"), "key", "left"
     ).withColumn("group", F.coalesce("component", "key"))
