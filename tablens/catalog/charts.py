@@ -36,7 +36,7 @@ def histogram(spark, sf):
 
 @query(
     "variance_histograms",
-    histogram_sql(("o_totalprice", "o_orderkey"), "orders"),
+    histogram_sql(("o_totalprice", "o_custkey"), "orders"),
 )
 def variance_histograms(spark, sf):
     return rounded_bins(charts.variance_histograms(table(spark, sf, "orders")))

@@ -23,6 +23,7 @@ from .columns import (
     union_all,
 )
 from .frequencies import bounded_counts, value_counts
+from .indexes import detect_index_columns
 from .kruskal import kruskal_ranking
 from .quantiles import quantiles
 from .sampling import random_sample
@@ -88,7 +89,10 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 25) -> DataFram
 def variance_histograms(
     df: DataFrame, top_n: int = 2, bins: int = 25, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Histograms of the columns of largest variance."""
+    """Histograms of the columns of largest variance, by default among all but index columns."""
+    if columns is None:
+        indexes = set(detect_index_columns(df))
+        columns = [c for c in numeric_columns(df) if c not in indexes]
     top = [r["column_name"] for r in top_variance_columns(df, top_n, columns).collect()]
     return histogram(df, top, bins)
 

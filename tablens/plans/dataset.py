@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import ConfigurationError
 from ..operators import charts, correlation, sampling, typing
+from ..operators.indexes import detect_index_columns
 from ..sinks.reports import write_json, write_sample, write_schema_report
 from ..sources import load_file, read_table
 from .profile import Profile, profile
@@ -70,6 +71,15 @@ class Dataset:
             write_sample(rows, path)
         return rows
 
+    def analyse(self, max_rows: int = 250, **options) -> dict:
+        """Sample, profile, charts and correlations of the loaded table."""
+        return {
+            "sample": self.sample(max_rows, **options),
+            "profile": self.profile(),
+            "charts": self.charts(),
+            "correlations": self.correlations(),
+        }
+
     def correlations(self, threshold: float = 0.8, top_n: int = 5) -> dict[str, DataFrame]:
         pearson = correlation.corr_matrix(self.df)
         return {
@@ -78,9 +88,9 @@ class Dataset:
             "spearman": correlation.spearman_top_pair(self.df, reported=correlation.top_pairs(pearson)),
         }
 
-    def charts(self, skip: Sequence[str] = ()) -> dict[str, DataFrame]:
-        """Chart data of the table without the ``skip`` columns."""
-        df = self.df.drop(*skip)
+    def charts(self, skip: Sequence[str] | None = None) -> dict[str, DataFrame]:
+        """Chart data of the table without the ``skip`` columns, by default the index columns."""
+        df = self.df.drop(*(detect_index_columns(self.df) if skip is None else skip))
         return {
             "histograms": charts.variance_histograms(df),
             "categories": charts.top_categories(df),
