@@ -67,8 +67,8 @@ def routes(tokens: np.ndarray) -> np.ndarray:
     """Signatures such that any two linked sets share one.
 
     Linked sets differ in a bounded number of shingles. Cut into more parts by hash than that, some
-    parts agree, and one of these isn't empty if the spare parts outnumber the empty ones. Sets for
-    which they don't also send the first hashes in order, a fifth of them and one more; two such
+    parts agree, and one of these isn't empty if the spare parts outnumber the empty ones. As many
+    small parts as can be spared aren't sent. Sets with too many empty parts also send the first hashes in order, a fifth of them and one more; two such
     sets share one of these.
     """
     n = len(tokens)
@@ -82,8 +82,13 @@ def routes(tokens: np.ndarray) -> np.ndarray:
         sums = np.add.reduceat(mixed ^ (mixed >> np.uint64(27)), starts)
         salt = np.uint64((number + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
         signature = (sums ^ (place[starts] + salt)) * np.uint64(0x9E3779B97F4A7C15)
-        out.append(signature ^ (signature >> np.uint64(30)))
-        if parts - differ - (parts - len(starts)) < 1:
+        signature ^= signature >> np.uint64(30)
+        spare = len(starts) - differ - 1  # so many parts with content needn't be sent
+        if spare >= 0:  # the smallest, by a bound on their size, which both sets then respect
+            sizes = np.diff(np.r_[starts, n])
+            signature = signature[sizes >= np.sort(sizes)[min(spare, len(sizes) - 1)]]
+        out.append(signature)
+        if spare < 0:
             first = n - -(-n * PERCENT // 100) + 1
             out.append(tokens[:first] * np.uint64(0x2545F4914F6CDD1D) + np.uint64(1))
     return np.unique(np.concatenate(out))
@@ -331,9 +336,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         labels.select(F.col("component").alias("node"), "component")
     ).distinct()
     nodes = cut(nodes)
-    bits = {r.word_no: r.word for r in bitmap_of(nodes, "node", BITMAP_ROWS).collect()}
+    bits = bitmap_of(nodes, "node", BITMAP_ROWS).toArrow()
     words = np.zeros(BITMAP_ROWS, np.int64)
-    words[list(bits)] = list(bits.values())
+    words[bits.column("word_no").to_numpy()] = bits.column("word").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(words)
     kind = docs.schema[id_col].dataType.simpleString()
 
