@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import scratch_path
+
 WORD_BITS = 64
 BITMAP_ROWS = 1 << 18  # words of a bitmap
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: nothing of its plan goes on."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it several times, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

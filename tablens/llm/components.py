@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from .common import written
 
 ROUNDS = 100
 
@@ -14,23 +14,24 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: the least node reachable over the edges ``(a, b)``.
 
     Large stars and small stars in turn: every node hangs itself and its neighbours on the least of
-    them, until nothing moves. Rounds grow with the logarithm of the longest path. Only counts
+    them, until nothing moves. Each round is a written table: a checkpoint would hand the partitioning of
+    every round before on to the planner, which grows without end. Rounds grow with the logarithm of the longest path. Only counts
     reach the driver.
     """
-    edges = cut(
+    edges = written(
         edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     before = None
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
         # large star: neighbours above a node hang on its least neighbour
         large = both.where("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a != b").distinct()
         # small star: a node and its lower neighbours hang on the least of these
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), "m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), "m")
         small = large.join(low, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionByName(low.select(F.col("of").alias("a"), F.col("m").alias("b"))).where("a != b").distinct())
+        edges = written(small.unionByName(low.select(F.col("of").alias("a"), F.col("m").alias("b"))).where("a != b").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

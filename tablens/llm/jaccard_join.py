@@ -20,6 +20,9 @@ SHINGLE = 5
 PERCENT = 80
 RATIO = 1.5  # sizes of a class
 SPARE = 1.3  # parts for each error that a class allows
+WIDE = 200  # shingles of sets that have a fixed number of signatures
+BANDS = 64  # these
+BINS = 4  # least hashes in each
 BLOCK_LOAD = 2_000_000  # shingles, and DOC_LOAD for each text, that one tree holds
 DOC_LOAD = 500
 BITS = 2048
@@ -64,17 +67,21 @@ def size_classes(n: int) -> list[tuple[int, int]]:
 
 
 def routes(tokens: np.ndarray) -> np.ndarray:
-    """Signatures such that any two linked sets share one.
+    """Signatures such that any two linked sets share one; their number is bounded (see ``bands``).
 
-    Linked sets differ in a bounded number of shingles. Cut into more parts by hash than that, some
-    parts agree, and one of these isn't empty if the spare parts outnumber the empty ones. As many
-    small parts as can be spared aren't sent. Sets with too many empty parts also send the first hashes in order, a fifth of them and one more; two such
+    Up to ``WIDE`` shingles this is certain: linked sets differ in a bounded number of shingles. Cut
+    into more parts by hash than that, some parts agree, and one of these isn't empty if the spare
+    parts outnumber the empty ones. As many small parts as can be spared aren't sent. Sets with too
+    many empty parts also send the first hashes in order, a fifth of them and one more; two such
     sets share one of these.
     """
     n = len(tokens)
     differ = (n + n * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
     out = []
     for number, largest in size_classes(n):
+        if largest > WIDE:
+            out.append(bands(tokens))
+            break
         parts = int(SPARE * (2 * largest * (100 - PERCENT) // (100 + PERCENT))) + 2
         place = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
@@ -94,22 +101,77 @@ def routes(tokens: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def route(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(a, b)``: nodes that share a signature, as stars."""
+def bands(tokens: np.ndarray) -> np.ndarray:
+    """At most ``BANDS`` signatures of a wide set, each of the least hashes of ``BINS`` ranges of hashes.
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two sets agree in a range at least as often as they are similar. At ``PERCENT`` they share no
+    signature with a probability below 3e-15, less than that of two texts with one 64-bit hash.
+    """
+    place = (tokens >> np.uint64(32)) * np.uint64(BANDS * BINS) >> np.uint64(32)
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    least = np.zeros(BANDS * BINS, np.uint64)
+    least[place[starts].astype(np.int64)] = tokens[starts]
+    least = least.reshape(BANDS, BINS)
+    signature = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for k in range(BINS):
+        signature = (signature ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        signature ^= signature >> np.uint64(30)
+    return signature[least.any(axis=1)]
+
+
+def read_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, n_shingles, key, node, signs)``; of equal sets in a batch, the first has signatures."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys, signs = [], [], []
+            seen: set[bytes] = set()
+            for scalar in batch.column(1):
+                tokens = shingles(scalar.as_py())
+                key = set_key(tokens)
+                sizes.append(len(tokens))
+                keys.append(key)
+                signs.append(routes(tokens).tobytes() if len(tokens) and key not in seen else None)
+                seen.add(key)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(map(node_of, keys), pa.int64()), pa.array(signs, pa.binary())],
+                ["doc_id", "n_shingles", "key", "node", "signs"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(
+        read, f"doc_id {kind}, n_shingles long, key binary, node long, signs binary"
+    )
+
+
+def read_tokens(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(key, tokens)``; of equal sets in a batch, the first."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes: dict[int, np.ndarray] = {}
+            sets: dict[bytes, bytes] = {}
             for scalar in batch.column(0):
                 tokens = shingles(scalar.as_py())
                 if len(tokens):
-                    node = node_of(set_key(tokens))
-                    if node not in nodes:
-                        nodes[node] = routes(tokens)
-            if not nodes:
+                    sets.setdefault(set_key(tokens), tokens.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sets), pa.binary()), pa.array(list(sets.values()), pa.binary())], ["key", "tokens"]
+            )
+
+    return docs.select(text_col).mapInArrow(read, "key binary, tokens binary")
+
+
+def route(sets: DataFrame) -> DataFrame:
+    """``(a, b)``: nodes of ``(node, signs)`` that share a signature, as stars."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            signs = np.concatenate(list(nodes.values())).view(np.int64)
-            owners = np.repeat(np.fromiter(nodes, np.int64, len(nodes)), [len(x) for x in nodes.values()])
+            packed = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            signs = np.concatenate(packed)
+            owners = np.repeat(batch.column(0).to_numpy(), list(map(len, packed)))
             order = np.lexsort((owners, signs))
             signs, owners = signs[order], owners[order]
             first = np.r_[True, signs[1:] != signs[:-1]]
@@ -137,8 +199,8 @@ def route(docs: DataFrame, text_col: str) -> DataFrame:
             links = np.unique(np.c_[owners[~first], heads[~first]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
 
-    sent = docs.select(text_col).mapInArrow(send, "sign long, a long, b long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = sets.mapInArrow(send, "sign long, a long, b long")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one shuffle: local links go along under their own key
     key = F.coalesce("sign", F.xxhash64("a", "b"))
     dealt = sent.select(key.alias("sign"), "a", "b").repartition(parts, "sign")
@@ -328,55 +390,31 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     together. An empty table gives no rows; other columns are not read.
 
     Equal sets become one node. Nodes that share a signature, and what they reach, form a group;
-    signature trees join each group exactly. Texts are read twice and never shuffled, and only sets
-    of nodes in groups are.
+    signature trees join each group exactly. Every text is read once for its signatures; one text of
+    each set in a group, found with a bitmap of ids, is read again for its shingles. Texts are never
+    shuffled, and only the sets in groups are.
     """
-    labels = cut(components(route(docs, text_col)))
-    nodes = labels.select("node", "component").unionByName(
-        labels.select(F.col("component").alias("node"), "component")
-    ).distinct()
-    nodes = cut(nodes)
-    bits = bitmap_of(nodes, "node", BITMAP_ROWS).toArrow()
-    words = np.zeros(BITMAP_ROWS, np.int64)
-    words[bits.column("word_no").to_numpy()] = bits.column("word").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        for batch in batches:
-            sizes, keys, sets = [], [], []
-            seen: set[bytes] = set()
-            for scalar in batch.column(1):
-                tokens = shingles(scalar.as_py())
-                key = set_key(tokens)
-                place = node_of(key) % (len(words) * 64)
-                wanted = len(tokens) and key not in seen and (int(words[place >> 6]) >> (place & 63)) & 1
-                seen.add(key)
-                sizes.append(len(tokens))
-                keys.append(key)
-                sets.append(tokens.tobytes() if wanted else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array([node_of(k) for k in keys], pa.int64()), pa.array(sets, pa.binary())],
-                ["doc_id", "n_shingles", "key", "node", "tokens"],
-            )
-
-    schema = f"doc_id {kind}, n_shingles long, key binary, node long, tokens binary"
-    base = cut(docs.select(id_col, text_col).mapInArrow(read, schema))
-    sets = (
-        base.where("tokens is not null")
-        .select("node", "key", F.col("n_shingles").alias("n"))
-        .distinct()
-        .join(nodes, "node")
-        .select(F.col("component").alias("label"), "key", "n")
+    base = cut(read_sets(docs, id_col, text_col))
+    labels = components(route(base.where("signs is not null").select("node", "signs")))
+    nodes = labels.select("node", F.col("component").alias("label")).unionByName(
+        labels.select(F.col("component").alias("node"), F.col("component").alias("label")).distinct()
+    )
+    one = base.where("signs is not null").groupBy("node", "key").agg(
+        F.first("n_shingles").alias("n"), F.min(F.xxhash64("doc_id")).alias("ticket")
+    )
+    sets = cut(one.join(nodes, "node").select("label", "key", "n", "ticket"))
+    again = in_bitmap(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("ticket")),
+        "ticket",
+        bitmap_of(sets, "ticket", BITMAP_ROWS),
+        BITMAP_ROWS,
     )
-    tokens = base.where("tokens is not null").select("key", "tokens")
-    joined = cut(components(join_blocks(cut(sets), tokens)))
+    tokens = read_tokens(again, "text")
+    joined = components(join_blocks(sets.drop("ticket"), tokens))
     named = base.select("doc_id", "n_shingles", "key").join(
         joined.withColumnRenamed("node", "key"), "key", "left"
     ).withColumn("group", F.coalesce("component", "key"))
     alone = named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     grouped = named.where("n_shingles > 0")
-    least = cut(grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")))
+    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return alone.unionByName(grouped.join(least, "group").select("doc_id", "n_shingles", "component_id"))
