@@ -14,9 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: the least node reachable over the edges ``(a, b)``.
 
     Large stars and small stars in turn: every node hangs itself and its neighbours on the least of
-    them, until nothing moves. Each round is a written table: a checkpoint would hand the partitioning of
-    every round before on to the planner, which grows without end. Rounds grow with the logarithm of the longest path. Only counts
-    reach the driver.
+    them, until nothing moves. Rounds grow with the logarithm of the longest path. Each is a written
+    table: a checkpoint would hand the partitioning of every round before on to the planner, which
+    grows without end. Only counts reach the driver.
     """
     edges = written(
         edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

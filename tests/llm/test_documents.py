@@ -5,6 +5,7 @@ import json
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from tablens.llm import jaccard_join as jj
@@ -158,6 +159,22 @@ def test_jaccard_join_of_nothing(empty):
     assert jj.jaccard_join(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [90, 113, 141, 176, 250, 800, 5000])
+def test_linked_sets_share_a_signature(size):
+    """Sets at the threshold, with as few common shingles as it allows, on both sides of ``WIDE``."""
+    draw = np.random.default_rng(size)
+    for _ in range(60):
+        pool = np.unique(draw.integers(0, 1 << 63, 2 * size, dtype=np.uint64) * np.uint64(2))
+        draw.shuffle(pool)
+        differ = size // 4
+        left = draw.integers(0, differ + 1)
+        common = pool[:size]
+        one = np.sort(np.r_[common, pool[size : size + left]])
+        two = np.sort(np.r_[common, pool[size + left : size + differ]])
+        assert np.intersect1d(jj.routes(one), jj.routes(two)).size
+    assert len(jj.routes(np.sort(pool))) <= jj.BANDS or size < jj.WIDE
+
+
 def test_tree_links_span_the_components():
     sets = sorted((jj.shingles(edited(k)) for k in range(300)), key=len)
     parent = list(range(len(sets)))
