@@ -49,19 +49,76 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
     return (best, end) if end >= 0 else None
 
 
+def levels(item: str, budget: int, parts: list[tuple[int, str]]) -> list[list[tuple[int, int, int]]]:
+    """For each piece, the parts of the item around it ``(start, end, budget)``, smallest first, without the item.
+
+    Pieces are the leaves of a binary tree, and a node with n leaves may have n - 1 errors. If both
+    children of a node had more than they may, the node would have as well; so every match has a
+    piece around which all parts match within their budgets.
+    """
+    around: list[list[tuple[int, int, int]]] = [[] for _ in parts]
+    places = [at for at, _ in parts] + [len(item)]
+    work = [(0, len(parts))]
+    while work:
+        a, b = work.pop()
+        if b - a < 2:
+            continue
+        if b - a < len(parts):
+            for k in range(a, b):
+                around[k].append((places[a], places[b], b - a - 1))
+        middle = (a + b + 1) // 2
+        work += [(a, middle), (middle, b)]
+    return [x[::-1] for x in around]
+
+
+def compile_items(texts: dict[int, str], errors: float = ERRORS):
+    """An automaton of the pieces of plain items, and the items by number with their budgets."""
+    import ahocorasick
+
+    items, places = {}, {}
+    for key, item in texts.items():
+        budget, parts = pieces(item, errors)
+        items[key] = item, budget
+        for (at, piece), around in zip(parts, levels(item, budget, parts)):
+            places.setdefault(piece, []).append((key, at, len(piece), around))
+    automaton = ahocorasick.Automaton()
+    for piece, hits in places.items():
+        automaton.add_word(piece, hits)
+    if places:
+        automaton.make_automaton()
+    return automaton, items
+
+
+def grows(text: str, item: str, origin: int, at: int, size: int, around: list[tuple[int, int, int]]) -> bool:
+    """Whether the parts around a piece found in the text match as well; ``origin`` is where the item would start."""
+    for a, b, budget in around:
+        if budget == 1:  # one half of the other piece is whole
+            c, d = (at + size, b) if a == at else (a, at)
+            window, half = text[max(0, origin + c - 1) : max(0, origin + d + 1)], (c + d) // 2
+            if item[c:half] not in window and item[half:d] not in window:
+                return False
+        elif myers(item[a:b], text[max(0, origin + a - budget) : max(0, origin + b + budget)], budget) is None:
+            return False
+    return True
+
+
 def matches(text: str, automaton, items: dict[int, tuple[str, int]]) -> dict[int, tuple[int, int]]:
     """Items found in a plain text with their distance and the end of the match."""
     windows: dict[int, list[list[int]]] = {}
     for end, hits in automaton.iter(text):
-        for key, at, size in hits:
+        for key, at, size, around in hits:
             item, budget = items[key]
-            start = end + 1 - size - at - budget
-            stop = start + len(item) + 2 * budget
-            spans = windows.setdefault(key, [])
-            if spans and start <= spans[-1][1] and start >= spans[-1][0]:
+            origin = end + 1 - size - at
+            start, stop = origin - budget, origin + len(item) + budget
+            spans = windows.get(key)
+            if spans and spans[-1][0] <= start and stop <= spans[-1][1]:
+                continue
+            if not grows(text, item, origin, at, size, around):
+                continue
+            if spans and spans[-1][0] <= start <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], stop)
             else:
-                spans.append([start, stop])
+                windows.setdefault(key, []).append([start, stop])
     found = {}
     for key, spans in windows.items():
         item, budget = items[key]
@@ -84,8 +141,9 @@ def decontaminate(
     Null and empty texts and items match nothing; null ids pass through; empty tables give no rows.
 
     An item is cut into one piece more than it may have errors, so a match holds a whole piece; an
-    automaton finds the pieces in one pass, and only the windows around hits are compared. Items
-    are broadcast in blocks of about ``BLOCK_BYTES``; more items take more passes, not more memory.
+    automaton finds the pieces in one pass, and windows around hits are compared, first of the parts
+    around the piece, then of the item. Items are broadcast in blocks of about ``BLOCK_BYTES``; more
+    items take more passes, not more memory.
     """
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(
         F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item")
@@ -113,23 +171,11 @@ def _search(docs: DataFrame, texts: dict[int, str], errors: float, schema: str)
     shared = docs.sparkSession.sparkContext.broadcast(texts)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        items, places = {}, {}
-        for key, item in shared.value.items():
-            budget, parts = pieces(item, errors)
-            items[key] = item, budget
-            for at, piece in parts:
-                places.setdefault(piece, []).append((key, at, len(piece)))
-        automaton = ahocorasick.Automaton()
-        for piece, hits in places.items():
-            automaton.add_word(piece, hits)
-        if places:
-            automaton.make_automaton()
+        automaton, items = compile_items(shared.value, errors)
         for batch in batches:
             rows: list[tuple] = []
             for k, scalar in enumerate(batch.column(1)):
-                if places and scalar.is_valid:
+                if items and scalar.is_valid:
                     hits = matches(plain(scalar.as_py()), automaton, items)
                     rows += [(k, key, d, e) for key, (d, e) in hits.items()]
             yield pa.RecordBatch.from_arrays(

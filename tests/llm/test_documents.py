@@ -11,7 +11,7 @@ import pytest
 from tablens.llm import jaccard_join as jj
 from tablens.llm.bpe import Merges, Transducer, bpe
 from tablens.llm.components import components
-from tablens.llm.decontamination import decontaminate, myers, pieces
+from tablens.llm.decontamination import compile_items, decontaminate, matches, myers, pieces, plain
 from tablens.llm.exact_dedup import exact_dedup
 from tablens.llm.html_text import content_side, extract, main_text
 from tablens.llm.language import language_id
@@ -231,6 +231,20 @@ def test_myers():
         assert "".join(p for _, p in pieces(item)[1]) == item
 
 
+def test_matches_are_those_of_the_whole_text():
+    r = random.Random(7)
+    for _ in range(400):
+        item = plain("".join(r.choice("abcd ") for _ in range(r.randint(20, 140)))) or "a"
+        budget = pieces(item)[0]
+        near = list(item)
+        for _ in range(r.randint(0, budget + 2)):
+            k = r.randrange(len(near))
+            near[k : k + r.randint(0, 1)] = r.choice(["", "x", "b"])
+        ends = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 60))) for _ in range(2)]
+        text = plain("".join(near).join(ends))
+        assert matches(text, *compile_items({0: item})).get(0) == myers(item, text, budget)
+
+
 def test_decontamination(spark, odd, empty):
     items = spark.createDataFrame([(1, words(30, 5)), (2, words(40, 6)), (3, None), (4, "")], "item_id long, text string")
     near = words(30, 5).replace("a", "b", 4)
