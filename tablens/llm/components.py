@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from .common import written
 
 ROUNDS = 100
+HOT = 500  # a node that holds more than this part of the edges is joined by broadcast
+
+
+def hang(rows: DataFrame, least: DataFrame, limit: float) -> DataFrame:
+    """``rows (a, b)`` with ``m`` of their node ``a`` in ``least (of, m, n)``.
+
+    Nodes with over ``limit`` edges, few by the choice of the limit, are met where their rows lie.
+    """
+    hot = F.broadcast(least.where(F.col("n") > limit).select("of", "m"))
+    here = rows.join(hot, F.col("a") == F.col("of"))
+    others = rows.join(hot, F.col("a") == F.col("of"), "left_anti").join(least, F.col("a") == F.col("of"))
+    return here.select("a", "b", "m").unionByName(others.select("a", "b", "m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,24 +28,28 @@ def components(edges: DataFrame) -> DataFrame:
     Large stars and small stars in turn: every node hangs itself and its neighbours on the least of
     them, until nothing moves. Rounds grow with the logarithm of the longest path. Each is a written
     table: a checkpoint would hand the partitioning of every round before on to the planner, which
-    grows without end. Only counts reach the driver.
+    grows without end. Only counts reach the driver. Edges of a node that holds more than one in
+    ``HOT`` of them aren't shuffled to it: at most twice ``HOT`` nodes do, and these are broadcast.
     """
     edges = written(
         edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    before = None
+    total, before = edges.count(), None
     for _ in range(ROUNDS):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
+        limit = total / HOT
+        turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = edges.unionByName(turned)
+        least = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = least.select("of", F.least("of", "m").alias("m"), "n")
         # large star: neighbours above a node hang on its least neighbour
-        large = both.where("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
+        large = hang(turned, least, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its lower neighbours hang on the least of these
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), "m")
-        small = large.join(low, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(low.select(F.col("of").alias("a"), F.col("m").alias("b"))).where("a != b").distinct())
+        low = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = hang(large, low, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        own = low.select(F.col("of").alias("a"), F.col("m").alias("b"))
+        edges = written(small.unionByName(own).where("a != b").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
+        total, before = now[0], now
     raise RuntimeError("components did not settle")

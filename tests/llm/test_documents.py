@@ -199,6 +199,9 @@ def test_components(spark):
     pairs = [(k, k + 1) for k in range(60)] + [(100, 103), (103, 101), (7, 7)]
     got = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
     assert all(got[k] == 0 for k in range(1, 61)) and got[103] == got[101] == 100
+    hubs = [(5000, k) for k in range(1000, 2500)] + [(10, k) for k in range(3000, 4500)] + [(2000, 3500), (8000, 8001)]
+    got = dict(components(spark.createDataFrame(hubs, "a long, b long")).collect())
+    assert got.pop(8001) == 8000 and set(got.values()) == {10} and len(got) == 3001
 
 
 def test_language(spark, odd, empty):
