@@ -64,11 +64,12 @@ def fit(bits: np.ndarray, labels: list[str]) -> Model:
     chosen = order[:LANDMARKS]
     model = Model(languages, bits[chosen], np.zeros((len(chosen) + 1, len(languages))))
     marks, norms = model.unpacked()
-    rows = np.unpackbits(bits, axis=1).astype(np.float32)
     between = kernel(np.ascontiguousarray(marks.T), marks, norms).astype(np.float64)
-    values, vectors = np.linalg.eigh(between)
-    root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    features = np.c_[kernel(rows, marks, norms).astype(np.float64) @ root, np.ones(len(rows))]
+    squares, vectors = np.linalg.eigh(between)
+    root = vectors / np.sqrt(np.maximum(squares, 1e-6))
+    parts = (bits[k : k + BATCH] for k in range(0, len(bits), BATCH))  # rows take 32 times the room when unpacked
+    values = np.concatenate([kernel(np.unpackbits(x, axis=1).astype(np.float32), marks, norms) for x in parts])
+    features = np.c_[values.astype(np.float64) @ root, np.ones(len(bits))]
     targets = np.array([[1.0 if x == lang else 0.0 for lang in languages] for x in labels])
     share = 1 / np.array([len(by_language[languages.index(x)]) for x in labels])  # languages weigh the same
     weighted = features * share[:, None]
