@@ -208,7 +208,7 @@ def bpe(
         known: dict[str, tuple] = {}
 
         def entry(ids: list[int]) -> tuple:
-            return ",".join(map(str, ids)), len(ids), b"".join(pieces[i] for i in ids), ids
+            return ",".join(map(str, ids)), b"".join(pieces[i] for i in ids), ids
 
         class Words(dict):
             def __missing__(self, word: str) -> tuple:
@@ -231,12 +231,13 @@ def bpe(
                 parts = special.split(text) if special and any(m in text for m in marks) else [text]
                 for k, part in enumerate(parts):
                     found += [marks[part]] if k % 2 else map(known.__getitem__, find(part))
-                decoded = b"".join([x[2] for x in found]).decode("utf-8", "replace")
-                out[0].append(sum([x[1] for x in found]))
-                out[1].append(hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest())
+                written = ",".join([x[0] for x in found])
+                decoded = b"".join([x[1] for x in found]).decode("utf-8", "replace")
+                out[0].append(written.count(",") + bool(found))
+                out[1].append(hashlib.sha256(written.encode()).hexdigest())
                 out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    out[3].append(np.array([i for x in found for i in x[3]], np.int32))
+                    out[3].append(np.array([i for x in found for i in x[2]], np.int32))
                     out[4].append(decoded)
             columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
