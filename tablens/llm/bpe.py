@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -22,6 +23,9 @@ CACHED = 300_000  # words that a worker remembers
 # fixed value: how byte-level vocabularies split a text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Nearly the same split with Python's own, faster expressions. It only names words for the transducer.
+LIKELY = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file, and its byte."""
@@ -193,7 +197,7 @@ def bpe(
     Frequent words of the corpus are compiled into a transducer of bounded size and broadcast. Other
     words are merged by the rules; workers remember at most ``CACHED`` words.
     """
-    find = regex.compile(PATTERN).findall
+    find = re.compile(LIKELY).findall
     merges = Merges(tokenizer_file)
     frequent = sorted({w.encode() for w in frequent_words(docs, text_col, find, FREQUENT)})
     compiled = Transducer.build(frequent, [merges.merge(w) for w in frequent])
