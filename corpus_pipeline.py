@@ -9,7 +9,7 @@ from tablens.llm.bpe import bpe
 from tablens.llm.decontamination import decontaminate
 from tablens.llm.jaccard_join import jaccard_join
 from tablens.llm.language import with_language
-from tablens.llm.line_dedup import line_dedup
+from tablens.llm.line_dedup import passage_dedup
 from tablens.llm.queries import table, tokenizer
 from tablens.storage import scratch_path
 
@@ -23,13 +23,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; those that lose all their text go."""
-    cleaned = line_dedup(docs)
+    """Documents without repeated passages of lines; those that lose all their text go."""
+    cleaned = passage_dedup(docs)
     lost = F.col("removed_lines") > 0
     counted = cleaned.withColumn(
         "n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     )
-    return counted.where(~lost | (F.trim("text") != "")).select(docs.columns)
+    return counted.where(~lost | F.col("text").rlike(r"[^\p{IsWhite_Space}]")).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from .html_text import extract
 from .jaccard_join import jaccard_join
 from .language import language_id
 from .licenses import scan_licenses
-from .line_dedup import line_dedup
+from .line_dedup import line_dedup, passage_dedup
 from .sharding import shard
 from .token_counts import count_tokens
 
@@ -34,6 +34,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", F.col("removed_lines").cast("long").alias("removed_lines"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", F.col("removed_lines").cast("long").alias("removed_lines"))
+
+
 def held_out():
     """Documents that language identification may not learn from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -84,6 +89,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
+    "op9_passage_dedup": op9_passage_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 

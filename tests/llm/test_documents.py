@@ -16,7 +16,7 @@ from tablens.llm.exact_dedup import exact_dedup
 from tablens.llm.html_text import content_side, extract, main_text
 from tablens.llm.language import language_id
 from tablens.llm.licenses import align, scan, scan_licenses
-from tablens.llm.line_dedup import chunks, line_dedup
+from tablens.llm.line_dedup import LONG_WORDS, chunks, line_dedup, passage_dedup
 from tablens.llm.sharding import shard
 from tablens.llm.token_counts import count_tokens
 
@@ -118,6 +118,57 @@ def test_chunks_keep_every_line(spark):
     assert "\n".join(p.chunk for p in pieces_) == text and [p.first for p in pieces_[1:]] == [p.last + 1 for p in pieces_[:-1]]
 
 
+def repeated_lines(texts):
+    """Lines in windows of ``LONG_WORDS`` words or more that an earlier place has too; all that start and end at lines with words are tried."""
+    first, places = {}, []
+    for d, text in enumerate(texts):
+        lines = text.split("\n")
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                passage = "\n".join(lines[i : j + 1])
+                if len(passage.split()) >= LONG_WORDS and lines[i] and lines[j]:
+                    places.append((d, i, j, passage))
+                    first.setdefault(passage, (d, i, j))
+    gone = [set() for _ in texts]
+    for d, i, j, passage in places:
+        at, _, end = first[passage]
+        if d > at or i > end:
+            gone[d].update(range(i, j + 1))
+    return gone
+
+
+def test_passages_against_all_windows(spark):
+    r = random.Random(11)
+    pool = [words(n, n) for n in (1, 3, 4, 7, 9, 12, 15, 20, 26, 33, 45, 49, 50, 52, 70)] + [""]
+    parts = [[r.choice(pool) + (" " + words(1, r.random()) if r.random() < 0.3 else "") for _ in range(r.randint(1, 12))] for _ in range(14)]
+    texts = ["\n".join(x for _ in range(r.randint(1, 4)) for x in r.choice(parts)[: r.randint(2, 12)]) for _ in range(60)]
+    gone = repeated_lines(texts)
+    got = {x.doc_id: x for x in passage_dedup(docs(spark, [(k, t, None) for k, t in enumerate(texts)])).collect()}
+    assert sum(map(len, gone)) > 100
+    for k, text in enumerate(texts):
+        lines = text.split("\n")
+        sure = [x for i, x in enumerate(lines) if i not in gone[k]]  # chunks below the size of a window may go too
+        rest = iter(sure)
+        assert got[k].removed_lines >= len(gone[k]) and (got[k].text == "" or all(x in rest for x in got[k].text.split("\n")))
+
+
+def test_passages_deep_in_a_text_go_whole(spark):
+    for size in (2, 3, 5, 7):
+        shared = "\n".join(words(26 if size == 2 else 18, 100 * size + k) for k in range(size))
+        rows = [(k, f"{words(9, k)}\n{shared}\n{words(9, 50 + k)}", None) for k in range(12)]
+        got = {x.doc_id: x for x in passage_dedup(docs(spark, rows)).collect()}
+        assert got[0].removed_lines == 0
+        assert all(got[k].removed_lines == size and got[k].text == f"{words(9, k)}\n{words(9, 50 + k)}" for k in range(1, 12))
+
+
+def test_passages_of_odd_tables(spark, odd, empty):
+    rest = [(str(r.doc_id), r.text) for r in passage_dedup(odd).collect()]
+    assert sorted(rest, key=str) == sorted(((str(i), t) for i, t, _ in ODD), key=str)
+    assert passage_dedup(empty).count() == 0
+    again = passage_dedup(docs(spark, [(1, words(60, 7) + "\nx\n" + words(60, 7), "b"), (None, words(60, 7), "b"), (0, None, "b")])).collect()
+    assert {r.doc_id: (r.text, r.removed_lines) for r in again} == {1: (words(60, 7) + "\nx", 1), None: ("", 1), 0: (None, 0)}
+
+
 def brute(rows):
     sets = [set() if not (w := (t or "").encode().lower().split()) else {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for _, t in rows]
     parent = list(range(len(rows)))
