@@ -14,6 +14,13 @@ MASK = 2  # a boundary after every second line on average
 LONG_WORDS = 50  # a line of so many words is a chunk by itself
 LEAST_WORDS = 8  # chunks with fewer words stay
 
+# fixed values: scripts without spaces (about two and about four characters a word), and white space
+DENSE = r"\u2E80-\u2FFF\u3005-\u3007\u3021-\u3029\u3031-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+LOOSE = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u19E0-\u19FF\uA9E0-\uA9FF\uAA60-\uAA7F"
+SPACE = r"\s\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200B\u2028\u2029\u202F\u205F\u3000"
+WORD = rf"[{DENSE}]{{1,2}}|[{LOOSE}]{{1,4}}|[^{SPACE}{DENSE}{LOOSE}]+"
+FAR = r"[\u0E00-\u200B\u2028\u2029\u202F\u205F\u2E80-\x{10FFFF}]"  # lines without these take the faster pattern
+
 
 def line_hash(line: Column) -> Column:
     """32 bits of a line."""
@@ -26,8 +33,9 @@ def line_words(line: Column) -> Column:
 
 
 def text_words(text: Column) -> Column:
-    """Words between white space."""
-    return F.regexp_count(text, F.lit(r"\S+"))
+    """Words between white space of any kind; scripts without spaces count by their characters."""
+    near = F.regexp_count(text, F.lit(r"[^\s\x1C-\x1F\u0085\u00A0]+"))
+    return F.when(text.rlike(FAR), F.regexp_count(text, F.lit(WORD))).otherwise(near)
 
 
 def chunks(text: Column, counts: Column | None = None) -> Column:

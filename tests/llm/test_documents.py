@@ -161,6 +161,17 @@ def test_passages_deep_in_a_text_go_whole(spark):
         assert all(got[k].removed_lines == size and got[k].text == f"{words(9, k)}\n{words(9, 50 + k)}" for k in range(1, 12))
 
 
+def test_passages_of_any_script(spark):
+    r = random.Random(2)
+    draw = lambda low, high, n: "".join(chr(r.randint(low, high)) for _ in range(n))
+    han, thai = draw(0x4E00, 0x9FFF, 120), "\n".join(draw(0x0E01, 0x0E2E, 60) for _ in range(4))
+    parted = [words(60, 5).replace(" ", x) for x in ("\t", "\u00a0", "\u3000")]
+    short = "\n".join(words(2, 300 + k) for k in range(26))  # 52 words, 27 of them before a space
+    for passage in (han, thai, *parted, short):
+        got = {x.doc_id: x for x in passage_dedup(docs(spark, [(k, f"a{k}\n{passage}\nb{k}", None) for k in range(2)])).collect()}
+        assert got[0].removed_lines == 0 and got[1].text == "a1\nb1"
+
+
 def test_passages_of_odd_tables(spark, odd, empty):
     rest = [(str(r.doc_id), r.text) for r in passage_dedup(odd).collect()]
     assert sorted(rest, key=str) == sorted(((str(i), t) for i, t, _ in ODD), key=str)
