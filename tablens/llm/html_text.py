@@ -19,6 +19,7 @@ WORDS = re.compile(r"[a-z]+")
 # fixed values: elements of HTML
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title select textarea button datalist".split())
 RAW = frozenset("script style textarea title".split())
+IN_HEAD = frozenset("head base basefont bgsound link meta noscript template".split()) | RAW
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr br".split()
@@ -26,6 +27,7 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer "
     "footer form header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo "
@@ -55,6 +57,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     tag = ""
     hidden: str | None = None
+    in_head = False
 
     def close() -> None:
         nonlocal links
@@ -68,10 +71,13 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         links = 0
 
-    tokens = TOKEN.finditer(page)
-    for token in tokens:
-        piece = token.group()
+    at = 0
+    while at < len(page):
+        token = TOKEN.match(page, at)
+        piece, at = token.group(), token.end()
         if piece[0] != "<" or piece == "<":
+            if hidden == "head" and piece.strip():  # its end tag may be left out
+                hidden = None
             if hidden is None:
                 parts.append(piece)
                 links += len(piece) if open_links else 0
@@ -80,9 +86,18 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             continue
         tag, closing = name.group(1).lower(), piece[1] == "/"
+        if tag in RAW and not closing and not piece.endswith("/>"):  # no tags up to its end tag
+            end = END[tag].search(page, at)
+            at = end.start() if end else len(page)
+        if hidden == "head" and not closing:
+            if tag not in IN_HEAD:
+                hidden = None
+            elif tag in ("noscript", "template") and not piece.endswith("/>"):
+                hidden, in_head = tag, True
         if hidden is not None:
             if closing and tag == hidden:
-                hidden = None
+                hidden = "head" if in_head else None
+                in_head = False
             continue
         if tag in HIDDEN:
             if not closing and not piece.endswith("/>"):

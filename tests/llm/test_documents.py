@@ -364,6 +364,16 @@ def test_pages(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+def test_raw_text_and_open_heads():
+    said = "<article><p>The text of the page, with some words.</p></article>"
+    text = "The text of the page, with some words."
+    script = "<script>for(i=0;i<n;i++){f(i)} var s=\"it's</p>\";</script>"
+    assert main_text(f"<html><head><title>a<b</title></head><body>{script}{said}</body></html>") == text
+    assert main_text(f"<body><style>a<b{{}}</style>{said}<textarea>x<y</textarea><p>Further words that end the page here.</p>").startswith(text)
+    for opened in ("<body>", "", "<body class=x>"):
+        assert main_text(f"<html><head><meta charset=utf-8><title>T</title><template><p>no</p></template>{script}{opened}{said}") == text
+
+
 def test_minimum_cut():
     r = random.Random(5)
     for _ in range(60):
