@@ -34,9 +34,15 @@ CHROME_WORDS = frozenset(
     "related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget "
     "complementary contentinfo search alert".split()
 )
+VAGUE_WORDS = frozenset(
+    "alert banner comment disclaimer footer form header login notice popup reply respond search share".split()
+)  # of CHROME_WORDS, those that content bears too
 MAIN_WORDS = frozenset("article content entry main post story".split())
+WHOLE = frozenset("html body main article".split())  # their classes speak of the page, not of its text
+LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
-HARD = 1_000_000  # capacity of what the page itself says
+HARD = 1_000_000  # capacity of what the elements say
+MARK, VAGUE = 700, 350  # capacity of what a class, id or role says, if next to no text lies below it
 
 
 @dataclass
@@ -47,12 +53,33 @@ class Block:
     chrome: bool
     main: bool
     heading: bool
+    marks: tuple[tuple[int, int], ...] = ()  # numbers and capacities of the marked elements around
+
+
+def marks_of(tag: str, start: str) -> tuple[int, bool]:
+    """Capacity of the classes, id and role of a start tag as boilerplate, and whether they say main text.
+
+    A name counts as boilerplate if all its parts do (or say main text, as in ``post-comments``),
+    so that ``no-sidebar`` or ``comments-open`` say nothing.
+    """
+    if tag in WHOLE:
+        return 0, False
+    weight, main = 0, False
+    for _, value in ATTRIBUTE.findall(start):
+        for name in value.lower().strip("\"'").split():
+            parts = set(WORDS.findall(name))
+            chrome = parts & CHROME_WORDS
+            if chrome and parts <= CHROME_WORDS | MAIN_WORDS:
+                weight = max(weight, VAGUE if tag in LINES or chrome <= VAGUE_WORDS else MARK)
+            elif parts & MAIN_WORDS and not chrome:
+                main = True
+    return weight, main
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, with what the elements around them say."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # name, number, chrome, main
+    stack: list[tuple[str, int, bool, bool, tuple]] = []  # name, number, chrome, main, marks
     number, links, open_links = 0, 0, 0
     parts: list[str] = []
     tag = ""
@@ -64,9 +91,9 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                top = stack[-1] if stack else ("", 0, False, False)
+                top = stack[-1] if stack else ("", 0, False, False, ())
                 found.append(
-                    Block(text, tuple(x[1] for x in stack[-6:]), links, top[2], top[3], any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-2:]))
+                    Block(text, tuple(x[1] for x in stack[-6:]), links, top[2], top[3], any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-2:]), top[4])
                 )
             parts.clear()
         links = 0
@@ -124,16 +151,17 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
         elif stack and stack[-1][0] == "p":
             stack.pop()
-        said = {w for _, value in ATTRIBUTE.findall(piece) for w in WORDS.findall(value.lower())}
-        above = stack[-1] if stack else ("", 0, False, False)
-        chrome = above[2] or (tag in CHROME and not (tag == "header" and above[3])) or bool(said & CHROME_WORDS)
+        weight, main = marks_of(tag, piece)
+        above = stack[-1] if stack else ("", 0, False, False, ())
+        chrome = above[2] or (tag in CHROME and not (tag == "header" and above[3]))
         number += 1
-        stack.append((tag, number, chrome, above[3] or tag in MAIN or bool(said & MAIN_WORDS)))
+        marks = (*above[4], (number, weight)) if weight else above[4]
+        stack.append((tag, number, chrome, above[3] or tag in MAIN or main, marks))
     close()
     return found
 
 
-def costs(block: Block, any_main: bool) -> tuple[int, int]:
+def costs(block: Block, any_main: bool, marked: int = 0) -> tuple[int, int]:
     """Capacity from the content side and to the boilerplate side: what a wrong label would cost."""
     if block.chrome:
         return 0, HARD
@@ -145,6 +173,7 @@ def costs(block: Block, any_main: bool) -> tuple[int, int]:
         content += 400
     elif any_main:
         boilerplate += 400
+    boilerplate += marked
     return content, boilerplate
 
 
@@ -232,7 +261,13 @@ def main_text(page: str | None) -> str:
         if parent in last and last[parent] < k - 1:
             edges.append((last[parent], k, 10))
         last[parent] = k
-    chosen = content_side([costs(b, any_main) for b in blocks], edges)
+    below: dict[int, int] = {}  # characters below each marked element
+    for block in blocks:
+        for number, _ in block.marks:
+            below[number] = below.get(number, 0) + len(block.text)
+    total = max(1, sum(len(b.text) for b in blocks if not b.chrome))
+    marked = [max((w * max(0, total - below[k]) ** 2 // total**2 for k, w in b.marks), default=0) for b in blocks]
+    chosen = content_side([costs(b, any_main, m) for b, m in zip(blocks, marked)], edges)
     return "\n\n".join(b.text for b, keep in zip(blocks, chosen) if keep)
 
 
@@ -240,8 +275,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``(page_id, url, text, n_chars)``, one row per page.
 
     The page is read whole. Blocks are labelled content or boilerplate by a minimum cut: a
-    classifier of marks, length and links gives the terminal capacities; blocks next to each other
-    and blocks of one parent are tied. Null and empty pages have an empty text; null ids and
+    classifier of marks, length and links gives the terminal capacities (a class, id or role weighs
+    less the more of the text lies below it); blocks next to each other and blocks of one parent
+    are tied. Null and empty pages have an empty text; null ids and
     addresses pass through; repeated rows repeat; an empty table gives no rows; other columns are
     not read.
     """

@@ -374,6 +374,21 @@ def test_raw_text_and_open_heads():
         assert main_text(f"<html><head><meta charset=utf-8><title>T</title><template><p>no</p></template>{script}{opened}{said}") == text
 
 
+def test_one_word_does_not_decide_a_page():
+    title, first, second = "A title of some words", "The first part of this text, long enough. " * 3, "The second part, as long as the first one. " * 3
+    whole = "\n\n".join((title, first.strip(), second.strip()))
+    inner = f"<h1>{title}</h1><p>{first}</p><p>{second}</p>"
+    for page in (
+        f'<body class="no-sidebar"><article>{inner}</article>', f'<body class="single comments-open"><article>{inner}</article>',
+        f'<body class="sidebar"><div class="search">{inner}</div>', f'<body><div id="main" class="content has-sidebar">{inner}</div>',
+        f'<body><article class="post related-open">{inner}</article>', f'<body><article class="related">{inner}</article>',
+        f'<body><article><h1 class="header">{title}</h1><p class="notice">{first}</p><p class="share alert search">{second}</p></article>',
+    ):
+        assert main_text(page) == whole, page
+        for extra in ('<div class="ad">Buy this thing now, it is very good.</div>', '<div class="post-comments"><p>I liked it.</p></div>'):
+            assert main_text(page + extra) == whole, page
+
+
 def test_minimum_cut():
     r = random.Random(5)
     for _ in range(60):
