@@ -15,6 +15,7 @@ from .licenses import scan_licenses
 from .line_dedup import line_dedup, passage_dedup
 from .sharding import shard
 from .token_counts import count_tokens
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~fifth)
+    held = F.coalesce(fifth, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held, "score", "predicted", "nearest_id", "nearest_cosine")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -91,6 +99,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_toxicity": op13_toxicity,
 }
 
 OP2_SQL = r"""
