@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .html_text import extract
 from .jaccard_join import jaccard_join
 from .language import language_id
+from .lexical_search import ranked_search
 from .licenses import scan_licenses
 from .line_dedup import line_dedup, passage_dedup
 from .sharding import shard
@@ -80,6 +81,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~fifth)
@@ -99,6 +104,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_lexical_search": op12_lexical_search,
     "op13_toxicity": op13_toxicity,
 }
 
@@ -137,4 +143,34 @@ FROM r GROUP BY doc_id
 UNION ALL SELECT doc_id, text, 0 FROM documents WHERE text IS NULL
 """
 
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op9_line_dedup": OP9_SQL}
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+f AS (SELECT id, term, count(*) AS tf FROM t GROUP BY id, term),
+n AS (SELECT id, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM c) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM f GROUP BY term
+),
+m AS (SELECT id, 100 - 75 + ((75 * n * docs) // terms) AS m FROM n, c),
+s AS (
+  SELECT item_id, id AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (id) GROUP BY item_id, id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op9_line_dedup": OP9_SQL, "op12_lexical_search": OP12_SQL}
