@@ -85,6 +85,8 @@ def signature_blocks(waiting: list[tuple]) -> Iterator[tuple[list, list[int], in
     while at < len(order):
         rows = min(MOST_ROWS, max(64, ROWS_PER_ENTRY * entries[order[at]]))
         block = [waiting[k] for k in order[at : at + max(8, min(BLOCK_DOCS, BLOCK_CELLS // rows))]]
+        alike = sum(2 * entries[k] >= entries[order[at]] for k in order[at : at + len(block)])
+        block = block[: max(8, alike)]  # smaller documents would have rows that they don't need
         yield [d[0] for d in block], [d[1] for d in block], rows, sliced([d[2:] for d in block], rows)
         at += len(block)
 

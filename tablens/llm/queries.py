@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe
+from .conversation_trie import conversation_trie
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .html_text import extract
@@ -81,6 +82,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return conversation_trie(table(spark, sf_dir, "conversations"), shared)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -104,6 +110,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_lexical_search": op12_lexical_search,
     "op13_toxicity": op13_toxicity,
 }
@@ -173,4 +180,52 @@ FROM s WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
 """
 
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op9_line_dedup": OP9_SQL, "op12_lexical_search": OP12_SQL}
+
+
+def crc32_sql(digits: str) -> str:
+    """CRC-32 of ASCII text in DuckDB, four bits at a time; the table follows from the polynomial."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    nibbles = f"flatten(list_transform(string_split({digits}, ''), lambda x: [ascii(x) & 15, ascii(x) >> 4]))"
+    step = f"lambda s, x: xor(s >> 4, ({table})[(xor(s, x) & 15) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295], {nibbles}), {step}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (SELECT c, {crc32_sql("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+b AS (
+  SELECT c.c, 0 AS own, i, r, x FROM c JOIN t ON t.c = c.c - c.c % 100 AND i <= h
+  UNION ALL SELECT c.c, 1, i, r, x FROM c JOIN t USING (c) WHERE i > h
+),
+d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS depth, r, x FROM b),
+p AS (
+  SELECT c, depth, length(x) AS size, list({{'r': r, 'x': x}}) OVER (PARTITION BY c ORDER BY depth) AS path FROM d
+  UNION ALL SELECT c, 0, 0, [] FROM c
+),
+n AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n, max(size) AS size FROM p GROUP BY path, depth),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS children FROM n WHERE depth > 0 GROUP BY ALL),
+o AS (SELECT n.*, coalesce(children, 0) AS children, (n - 1) * size AS saved FROM n LEFT JOIN k ON n.path = k.path),
+u AS (
+  SELECT path[1:a] AS path, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+  FROM (SELECT *, unnest(generate_series(0, depth)) AS a FROM o) GROUP BY ALL
+),
+e AS (
+  SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends
+  FROM p JOIN (SELECT c, max(depth) AS depth FROM p GROUP BY c) USING (c, depth) GROUP BY path
+)
+SELECT o.conv_id, o.depth, up.conv_id AS parent_conv_id, o.n AS n_convs, o.children AS n_children,
+       CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM o JOIN u ON u.path = o.path LEFT JOIN e ON e.path = o.path
+LEFT JOIN o AS up ON o.depth > 0 AND up.path = o.path[1:o.depth - 1]
+"""
+
+ORACLES = {"op11_conversation_trie": OP11_SQL, "op2_exact_dedup": OP2_SQL, "op9_line_dedup": OP9_SQL, "op12_lexical_search": OP12_SQL}
