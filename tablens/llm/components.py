@@ -2,54 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-ROUNDS = 100
-HOT = 500  # a node that holds more than this part of the edges is joined by broadcast
+HELD = 1 << 20  # edges that a task joins at once
 
 
-def hang(rows: DataFrame, least: DataFrame, limit: float) -> DataFrame:
-    """``rows (a, b)`` with ``m`` of their node ``a`` in ``least (of, m, n)``.
+def forest(a: list, b: list) -> tuple[list, list]:
+    """Edges from each node to the least node that it reaches over the given edges."""
+    nodes = sorted({*a, *b})
+    number = {node: k for k, node in enumerate(nodes)}
+    x, y = (np.fromiter(map(number.__getitem__, side), np.int64, len(side)) for side in (a, b))
+    least = np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[x], least[y])
+        before = least.copy()
+        for side in (x, y):
+            np.minimum.at(least, before[side], low)  # the roots hang on the lower one
+        while (least[least] != least).any():
+            least = least[least]
+        if (least == before).all():
+            break
+    below = np.flatnonzero(least < np.arange(len(nodes))).tolist()
+    return [nodes[k] for k in below], [nodes[k] for k in least[below].tolist()]
 
-    Nodes with over ``limit`` edges, few by the choice of the limit, are met where their rows lie.
-    """
-    hot = F.broadcast(least.where(F.col("n") > limit).select("of", "m"))
-    here = rows.join(hot, F.col("a") == F.col("of"))
-    others = rows.join(hot, F.col("a") == F.col("of"), "left_anti").join(least, F.col("a") == F.col("of"))
-    return here.select("a", "b", "m").unionByName(others.select("a", "b", "m"))
+
+def forests(edges: DataFrame) -> DataFrame:
+    """``edges (a, b)`` with what each task reads reduced to stars: at most one edge per node and ``HELD`` edges."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kinds = ([], []), None
+
+        def stars() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, kinds) for x in forest(*held)], ["a", "b"])
+
+        for batch in batches:
+            kinds = batch.column(0).type
+            held[0].extend(batch.column(0).to_pylist())
+            held[1].extend(batch.column(1).to_pylist())
+            if len(held[0]) > HELD:
+                yield stars()
+                held = ([], [])
+        if held[0]:
+            yield stars()
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.select("a", "b").mapInArrow(reduce, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: the least node reachable over the edges ``(a, b)``.
 
-    Large stars and small stars in turn: every node hangs itself and its neighbours on the least of
-    them, until nothing moves. Rounds grow with the logarithm of the longest path. Each is a written
-    table: a checkpoint would hand the partitioning of every round before on to the planner, which
-    grows without end. Only counts reach the driver. Edges of a node that holds more than one in
-    ``HOT`` of them aren't shuffled to it: at most twice ``HOT`` nodes do, and these are broadcast.
+    Each task first joins the edges it reads, so that a node keeps one edge, to the least it reaches
+    there; a node then has at most one edge per task and ``HELD`` edges to a lower one, however many
+    neighbours it has. In a round, a node and its lower neighbours hang on the least of these, and
+    then each on what that one hangs on; tasks join the outcome again. Rounds grow with the logarithm
+    of the longest path, each is one window and one join (whose hot keys may be split) and a written
+    table, and they go on until nothing moves. Only a count and a checksum reach the driver.
     """
-    edges = written(
-        edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    total, before = edges.count(), None
-    for _ in range(ROUNDS):
-        limit = total / HOT
-        turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        both = edges.unionByName(turned)
-        least = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        least = least.select("of", F.least("of", "m").alias("m"), "n")
-        # large star: neighbours above a node hang on its least neighbour
-        large = hang(turned, least, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: a node and its lower neighbours hang on the least of these
-        low = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = hang(large, low, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        own = low.select(F.col("of").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(own).where("a != b").distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        total, before = now[0], now
-    raise RuntimeError("components did not settle")
+    edges = written(forests(edges.where("a != b")))
+    before = None
+    while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before or now[0] == 0:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
+        before = now
+        lower = edges.distinct().withColumn("least", F.min("b").over(Window.partitionBy("a")))
+        hung = lower.select("a", F.col("least").alias("b")).unionByName(
+            lower.where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        )
+        above = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("up"))
+        edges = written(forests(hung.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b"))))
