@@ -19,12 +19,28 @@ from .words import frequent_words
 
 FREQUENT = 32768  # words in the transducer
 CACHED = 300_000  # words that a worker remembers
+AT_ONCE = 1 << 20  # characters of texts that are split before their words are looked up
 
 # fixed value: how byte-level vocabularies split a text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Nearly the same split with Python's own, faster expressions. It only names words for the transducer.
-LIKELY = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: The same split with Python's own, faster expressions, for texts of characters that both read alike.
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+ALIKE = 0x3000  # characters from here on are left to the exact pattern
+
+
+def odd_characters() -> re.Pattern:
+    """Finds a character that the two patterns may read in different ways."""
+    kinds = [(r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\s")]
+    every = "".join(map(chr, range(ALIKE)))
+    odd = {c for own, exact in kinds for c in {*re.findall(own, every)} ^ {*regex.findall(exact, every)}}
+    return re.compile(f"[{''.join(map(re.escape, sorted(odd)))}{chr(ALIKE)}-{chr(0x10FFFF)}]")
+
+
+def splitter():
+    """Splits a text as ``PATTERN`` does."""
+    plain, exact, odd = re.compile(PLAIN).findall, regex.compile(PATTERN).findall, odd_characters().search
+    return lambda text: exact(text) if odd(text) else plain(text)
 
 
 def byte_letters() -> dict[str, int]:
@@ -37,6 +53,9 @@ def byte_letters() -> dict[str, int]:
 class Merges:
     """Vocabulary and merge rules of a tokenizer file."""
 
+    WIDTH = 1 << 31
+    NONE = 1 << 40  # rank of pairs that no rule joins
+
     def __init__(self, file: str):
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
@@ -50,6 +69,14 @@ class Merges:
             left, right = rule.split(" ") if isinstance(rule, str) else rule
             a, b = (bytes(letters[c] for c in x) for x in (left, right))
             self.rules.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+        # the same as arrays: pairs in order with their ranks, and what each rank makes
+        ordered = sorted((a * self.WIDTH + b, rank, made) for (a, b), (rank, made) in self.rules.items())
+        ordered = ordered or [(-1, self.NONE, 0)]
+        self.pairs, self.pair_ranks = (np.array([x[k] for x in ordered], np.int64) for k in (0, 1))
+        self.merged = np.zeros(len(spec["model"]["merges"]) + 1, np.int64)
+        for _, rank, made in ordered:
+            self.merged[min(rank, len(self.merged) - 1)] = made
+        self.bytes_ids = np.array(self.single, np.int64)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair of the lowest rank joins first, the leftmost of equal ones."""
@@ -68,6 +95,47 @@ class Merges:
             ids[at : at + 2] = [best[1]]
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of many words: those of one length are merged side by side, a pair of each at a time."""
+        found: list[list[int]] = [[]] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(k)
+        for length, places in by_length.items():
+            if length > 48 or len(places) < 8:
+                for k in places:
+                    found[k] = self.merge(words[k])
+                continue
+            raw = np.frombuffer(b"".join(words[k] for k in places), np.uint8).reshape(-1, length)
+            ids, at = self.bytes_ids[raw], np.array(places)
+            ranks = self.ranks(ids[:, :-1], ids[:, 1:])
+            while len(at):
+                best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(at), np.int64)
+                rows = np.arange(len(at))
+                rank = ranks[rows, best] if ranks.shape[1] else np.full(len(at), self.NONE)
+                done = rank == self.NONE
+                for k, row in zip(at[done].tolist(), ids[done].tolist()):
+                    found[k] = row
+                ids, ranks, at, best, rank = (x[~done] for x in (ids, ranks, at, best, rank))
+                rows = np.arange(len(at))
+                ids[rows, best] = self.merged[rank]
+                kept = np.ones(ids.shape, bool)
+                kept[rows, best + 1] = False
+                ids = ids[kept].reshape(len(at), ids.shape[1] - 1)
+                kept = np.ones(ranks.shape, bool)
+                kept[rows, best] = False
+                ranks = ranks[kept].reshape(len(at), max(0, ranks.shape[1] - 1))
+                for side in (best - 1, best):  # the pairs that the new piece is in
+                    own = np.flatnonzero((side >= 0) & (side < ranks.shape[1]))
+                    ranks[own, side[own]] = self.ranks(ids[own, side[own]], ids[own, side[own] + 1])
+        return found
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, ``NONE`` where no rule joins them."""
+        keys = left * self.WIDTH + right
+        place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == keys, self.pair_ranks[place], self.NONE)
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs and linked places, for words of any length."""
         n, get = len(ids), self.rules.get
@@ -197,52 +265,70 @@ def bpe(
     Frequent words of the corpus are compiled into a transducer of bounded size and broadcast. Other
     words are merged by the rules; workers remember at most ``CACHED`` words.
     """
-    find = re.compile(LIKELY).findall
+    find = splitter()
     merges = Merges(tokenizer_file)
-    frequent = sorted({w.encode() for w in frequent_words(docs, text_col, find, FREQUENT)})
-    compiled = Transducer.build(frequent, [merges.merge(w) for w in frequent])
+    words = frequent_words(docs, text_col, str.split, FREQUENT)
+    frequent = sorted({w.encode() for word in words for w in find(" " + word)})[:FREQUENT]
+    compiled = Transducer.build(frequent, merges.merge_all(frequent))
     shared = docs.sparkSession.sparkContext.broadcast(compiled)
-    del merges
+    del merges, find
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(PATTERN).findall
+        find = splitter()
         merges, lexicon = Merges(tokenizer_file), Transducer(shared.value)
-        pieces = merges.pieces
+        piece = merges.pieces.__getitem__
         special = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")") if merges.special else None
-        known: dict[str, tuple] = {}
 
         def entry(ids: list[int]) -> tuple:
-            return ",".join(map(str, ids)), b"".join(pieces[i] for i in ids), ids
+            return ",".join(map(str, ids)), b"".join(map(piece, ids)), ids
 
-        class Words(dict):
-            def __missing__(self, word: str) -> tuple:
+        def learn(words: set[str]) -> None:
+            """Words to their ids: by the transducer, or else by the rules."""
+            unseen: list[tuple[str, bytes]] = []
+            for word in words:
                 raw = word.encode()
                 ids = lexicon.find(raw)
-                found = entry(merges.merge(raw) if ids is None else ids)
-                if len(word) <= 64:
-                    self[word] = found
-                return found
+                if ids is None:
+                    unseen.append((word, raw))
+                else:
+                    known[word] = entry(ids)
+            for (word, _), ids in zip(unseen, merges.merge_all([raw for _, raw in unseen])):
+                known[word] = entry(ids)
+
+        def parts(text: str) -> list[list[str] | str]:
+            """Words of a text, and special strings by themselves."""
+            if special is None or not any(mark in text for mark in marks):
+                return [find(text)]
+            return [find(x) if k % 2 == 0 else x for k, x in enumerate(special.split(text))]
 
-        known = Words()
+        known: dict[str, tuple] = {}
         marks = {text: entry([i]) for text, i in merges.special.items()}
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for scalar in batch.column(1):
-                text = scalar.as_py() or ""
+            texts = [x.as_py() or "" for x in batch.column(1)]
+            start = 0
+            while start < len(texts):
+                stop, size = start, 0
+                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= AT_ONCE):
+                    size += len(texts[stop])
+                    stop += 1
+                split = list(map(parts, texts[start:stop]))
+                start = stop
                 if len(known) > CACHED:
                     known.clear()
-                found: list[tuple] = []
-                parts = special.split(text) if special and any(m in text for m in marks) else [text]
-                for k, part in enumerate(parts):
-                    found += [marks[part]] if k % 2 else map(known.__getitem__, find(part))
-                written = ",".join([x[0] for x in found])
-                decoded = b"".join([x[1] for x in found]).decode("utf-8", "replace")
-                out[0].append(written.count(",") + bool(found))
-                out[1].append(hashlib.sha256(written.encode()).hexdigest())
-                out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    out[3].append(np.array([i for x in found for i in x[2]], np.int32))
-                    out[4].append(decoded)
+                learn({w for text in split for x in text if not isinstance(x, str) for w in x} - known.keys())
+                for text in split:
+                    found: list[tuple] = []
+                    for x in text:
+                        found += [marks[x]] if isinstance(x, str) else map(known.__getitem__, x)
+                    written = ",".join([x[0] for x in found])
+                    decoded = b"".join([x[1] for x in found]).decode("utf-8", "replace")
+                    out[0].append(written.count(",") + bool(found))
+                    out[1].append(hashlib.sha256(written.encode()).hexdigest())
+                    out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if with_ids:
+                        out[3].append(np.array([i for x in found for i in x[2]], np.int32))
+                        out[4].append(decoded)
             columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
