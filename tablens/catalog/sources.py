@@ -115,6 +115,23 @@ def scan_xml(spark, sf):
     return load_file(spark, path)
 
 
+@query(
+    "scan_xml_tags",
+    "SELECT CAST(c_custkey AS VARCHAR) AS customer_key, c_name AS customer_name, NULL AS supplier_key, NULL AS place_nation FROM customer "
+    "UNION ALL SELECT NULL, NULL, CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR) FROM supplier",
+)
+def scan_xml_tags(spark, sf):
+    """Rows of two tags in one table, from files of both."""
+    path = scratch_path(spark, "parties") + ".xml"
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    customers.write.format("xml").options(rootTag="parties", rowTag="customer").save(f"{path}/customers")
+    suppliers = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("key"), F.struct(F.col("s_nationkey").alias("nation")).alias("place")
+    )
+    suppliers.write.format("xml").options(rootTag="parties", rowTag="supplier").save(f"{path}/suppliers")
+    return load_file(spark, path)
+
+
 @query("scan_parquet", "SELECT * FROM customer")
 def scan_parquet(spark, sf):
     return load_file(spark, f"{sf}/customer.parquet")

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from xml.etree.ElementTree import ParseError, XMLPullParser
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import READ_FAILURES, DataLoadingError, EmptyDatasetError
-from ..operators.columns import quoted
-from .flatten import flatten
-from .heads import file_heads
+from .flatten import column_names, flatten
+from .ranges import file_ranges
 from .registry import register_reader
+from .xml_rows import columns_of, read_rows, report, seen_paths
 
 
 def _read_json(spark: SparkSession, path: str, one_document: bool) -> DataFrame:
@@ -41,65 +37,25 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return _read_json(spark, path, one_document=False)
 
 
-def child_tags(spark: SparkSession, path: str) -> list[str]:
-    """Tags of the root's children, as far as the heads of the files show them."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tags: set[str] = set()
-            for head in batch["head"]:
-                parser, depth = XMLPullParser(events=("start", "end")), 0
-                try:
-                    parser.feed(head)
-                    for event, element in parser.read_events():
-                        depth += 1 if event == "start" else -1
-                        if event == "start" and depth == 2:
-                            tags.add(element.tag)
-                except ParseError as error:
-                    raise ValueError("malformed XML") from error
-            if tags:
-                yield pd.DataFrame({"tag": sorted(tags)})
-
-    tags = file_heads(spark, path).mapInPandas(scan, "tag string").distinct()
-    return sorted(r["tag"] for r in tags.collect())
-
-
 @register_reader([".xml"], ["row_tags"])
 def read_xml(
     spark: SparkSession, path: str, row_tags: Sequence[str] | None = None
 ) -> DataFrame:
     """Each child of the root is a row; leaf text is trimmed and attributes are ignored.
 
-    Give ``row_tags`` when a tag first occurs far into a large file. Rows of different tags
-    share one table whose other columns are null.
+    Rows of different tags share one table whose other columns are null; elements of a row's tag
+    deeper down are part of their row. ``row_tags`` keeps the rows of these tags only. Columns are
+    named as by ``flatten``; a tag that occurs more than once below one parent, in any row, becomes a
+    column per place. Blank text is null. Files are read in byte ranges, so that a file of any
+    size is read by many tasks; only a single row has to fit in memory. Encodings must agree with
+    ASCII below 128; entities that the document type declares are not known.
     """
     try:
-        tags = list(row_tags) if row_tags else child_tags(spark, path)
-        if not tags:
+        ranges = file_ranges(spark, path, report, b"<", after=False)
+        tags = frozenset(row_tags) if row_tags else None
+        paths = seen_paths(ranges, tags)
+        if not paths:
             raise EmptyDatasetError(f"{path} has no rows")
-        frames = [_read_rows(spark, path, tag) for tag in tags]
-        df = frames[0]
-        for other in frames[1:]:
-            df = df.unionByName(other, allowMissingColumns=True)
-        if not df.columns or df.isEmpty():
-            raise EmptyDatasetError(f"{path} has no rows")
-        return df
+        return read_rows(ranges, paths, column_names(columns_of(paths)), tags)
     except READ_FAILURES as error:
         raise DataLoadingError(f"invalid XML in {path}") from error
-
-
-def _read_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    nested = (
-        spark.read.format("xml")
-        .options(rowTag=tag, excludeAttribute=True, inferSchema=False, mode="FAILFAST")
-        .load(path)
-    )
-    flat = flatten(nested, prefix=(tag,))
-    return flat.select(
-        *[
-            F.nullif(F.trim(quoted(f.name)), F.lit("")).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else quoted(f.name)
-            for f in flat.schema.fields
-        ]
-    )

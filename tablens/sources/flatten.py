@@ -32,7 +32,7 @@ def flatten(df: DataFrame, prefix: Sequence[str] = ()) -> DataFrame:
         sizes = _longest(df, [value for _, value, _ in lists])
         for (path, value, element), size in zip(lists, sizes):
             pending += [((*path, str(i)), F.get(value, F.lit(i)), element) for i in range(size)]
-    names = _names([path for path, _ in leaves])
+    names = column_names([path for path, _ in leaves])
     return df.select(*[value.alias(name) for name, (_, value) in zip(names, leaves)])
 
 
@@ -55,7 +55,8 @@ def _longest(df: DataFrame, values: Sequence[Column]) -> list[int]:
     return sizes
 
 
-def _names(paths: Sequence[tuple[str, ...]]) -> list[str]:
+def column_names(paths: Sequence[tuple[str, ...]]) -> list[str]:
+    """The last two parts of each path, or all of them where two paths share these."""
     short = ["_".join(p[-2:]) for p in paths]
     uses = Counter(short)
     names: list[str] = []

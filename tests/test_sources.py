@@ -319,3 +319,79 @@ def test_header_longer_than_the_head(spark, tmp_path):
     names = [f"a_rather_long_name_{k}" for k in range(4000)]
     text = ",".join(names) + "\n" + ",".join(map(str, range(4000))) + "\n"
     assert len(read_delimited(spark, _write(tmp_path, {"a.csv": text})).columns) == 4000
+
+
+# ---- XML in ranges ----------------------------------------------------------------------
+
+def xml_by_hand(text):
+    """Cells of every child of the root, by the standard parser."""
+    from xml.etree import ElementTree
+
+    out = []
+    for child in ElementTree.fromstring(text):
+        row = {}
+
+        def walk(node, path):
+            value = (node.text or "").strip()
+            if value or not len(node):
+                row[path] = value or None
+            seen = {}
+            for below in node:
+                place = seen.get(below.tag, 0)
+                seen[below.tag] = place + 1
+                walk(below, f"{path}/{below.tag}[{place}]")
+
+        walk(child, child.tag)
+        out.append(row)
+    return out
+
+
+ODD_XML = (
+    '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE shop [<!ELEMENT a (b)> ]>\n<!-- <a>none</a> --><shop note="a > b">'
+    + "".join(
+        '<a k="&lt;b>" />' if k % 7 == 3 else
+        f"<a><a><b>{k} é &amp; x</b></a><!-- </a><a> --><c><![CDATA[</a><a>{k}]]></c><c/> tail</a>" if k % 3 else f"<b at='>'>t{k}<?pi <a> ?></b>"
+        for k in range(60)
+    )
+    + "<!-- <b> --></shop>\n<!-- end -->"
+)
+
+
+def test_xml_elements_at_every_range_size(tmp_path):
+    from tablens.sources import xml_rows
+    from tablens.sources.ranges import Bytes, aligned
+
+    path = tmp_path / "odd.xml"
+    path.write_bytes(ODD_XML.encode())
+    size = path.stat().st_size
+    expected = xml_by_hand(ODD_XML)
+    for step in (*range(17, 400, 13), 5000, size):
+        state, depth, got = 0, 0, []
+        for start in range(0, size, step):
+            with Bytes(f"file:{path}", max(0, start - 1), size) as source:
+                low, high = aligned(source, start, min(size, start + step), b"<", False)
+                if low < high:
+                    found = xml_rows.report(source.data[low - source.start : high - source.start])
+                    got += [xml_rows.cells(x, None) for x in xml_rows.elements(source, low, high, state, depth)]
+                    state, depth = found[state][0], depth + found[state][1]
+        assert got == expected, step
+        assert (state, depth) == (0, 0)
+
+
+def test_xml_tags_far_into_a_file(spark, tmp_path, monkeypatch):
+    from tablens.sources import ranges
+
+    monkeypatch.setattr(ranges, "RANGE_BYTES", 4000)
+    text = "<r>" + "".join(f"<a><x>{k}</x><b><x>in {k}</x></b></a>" for k in range(6000)) + "".join(f"<b><x>{k}</x></b>" for k in range(500)) + "</r>"
+    df = load_file(spark, write(tmp_path / "far.xml", text))
+    assert sorted(df.columns) == ["a_b_x", "a_x", "b_x"]
+    assert df.count() == 6500 and df.where("a_x is not null").count() == 6000
+    assert df.where("a_x is null").selectExpr("count(distinct b_x)").first()[0] == 500
+    assert load_file(spark, str(tmp_path / "far.xml"), row_tags=["b"]).count() == 500
+    assert df.rdd.getNumPartitions() > 8
+
+
+def test_xml_that_is_cut_off(spark, tmp_path):
+    for k, text in enumerate(("<r><a>1</a>", "<r><a>1</a><!-- x </r>", "<r><a>1</b></r>", "<r><a>1</a></r></r>", "no markup", "<r><a x='1>2</a></r>")):
+        with pytest.raises((errors.DataLoadingError, errors.EmptyDatasetError)):
+            load_file(spark, write(tmp_path / f"cut{k}.xml", text))
