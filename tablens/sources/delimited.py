@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..errors import READ_FAILURES, DataLoadingError, EmptyDatasetError
 from ..functions.values import null_word_to_null
 from ..operators.columns import quoted
 from .dialect import detect_dialects
+from .records import read_records
 from .registry import register_reader
 
 
@@ -39,6 +41,11 @@ def _column_names(first_row: Sequence[str | None], header: bool) -> list[str]:
     return names
 
 
+def _ascii_lines(encoding: str) -> bool:
+    """Whether a line break is the byte 10 and no part of another character."""
+    return codecs.lookup(encoding).name in {"utf-8", "ascii"} or encoding.lower().startswith(("iso-8859", "latin", "cp125", "windows-125"))
+
+
 @register_reader(
     [".csv", ".tsv", ".txt"],
     ["has_header", "quote_char", "encoding", "sep", "multi_line"],
@@ -56,8 +63,9 @@ def read_delimited(
 
     Cells beyond the columns are dropped and short rows are filled with null. Files are
     grouped by dialect and columns; one group, the usual case, is one scan of ``path``.
-    ``quote_char=False`` turns quoting off. ``multi_line=True`` allows line breaks inside
-    quotes, at the price of one task per file.
+    ``quote_char=False`` turns quoting off. ``multi_line=True`` allows line breaks inside quotes;
+    files are split all the same, after one more pass that finds the splits inside quotes (but for
+    encodings in which a line break isn't the byte 10, where a file is one task).
     """
     try:
         found = (
@@ -89,11 +97,15 @@ def read_delimited(
     for group in groups:
         names = _column_names(group["layout"], group["header"])
         quote = group["quote"] if quote_char is None else (quote_char or "")
+        paths = path if len(groups) == 1 else list(group["paths"])
+        if multi_line and quote and _ascii_lines(encoding):
+            frames.append(read_records(spark, paths, names, group["header"], sep or group["sep"], quote, encoding))
+            continue
         reader = spark.read.options(
             header=group["header"], sep=sep or group["sep"], quote=quote, escape=quote or "\\",
             encoding=encoding, mode="PERMISSIVE", multiLine=multi_line, enforceSchema=True,
         ).schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-        frames.append(reader.csv([path] if len(groups) == 1 else list(group["paths"])))
+        frames.append(reader.csv(paths))
     df = frames[0]
     for other in frames[1:]:
         df = df.unionByName(other, allowMissingColumns=True)

@@ -81,7 +81,7 @@ def aligned(source: Bytes, start: int, stop: int, mark: bytes, after: bool) -> t
 
 
 def file_ranges(
-    spark: SparkSession, path: str, report: Callable[[bytes], Report], mark: bytes, after: bool
+    spark: SparkSession, path: str | Sequence[str], report: Callable[[bytes], Report], mark: bytes, after: bool
 ) -> DataFrame:
     """``(path, length, start, stop, state, depth)``: ranges of all files below ``path``, with their start.
 
@@ -124,7 +124,8 @@ def file_ranges(
                 state, depth = int(ends[state]), depth + int(deltas[state])
         return parts[["path", "length", "start", "stop"]].assign(state=states, depth=depths)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    paths = path if isinstance(path, str) else list(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     files = files.select("path", "length").where("length > 0")
     tasks = 8 * spark.sparkContext.defaultParallelism
     ranges = cut(files.coalesce(tasks).mapInPandas(cut_up, _RANGE))

@@ -395,3 +395,49 @@ def test_xml_that_is_cut_off(spark, tmp_path):
     for k, text in enumerate(("<r><a>1</a>", "<r><a>1</a><!-- x </r>", "<r><a>1</b></r>", "<r><a>1</a></r></r>", "no markup", "<r><a x='1>2</a></r>")):
         with pytest.raises((errors.DataLoadingError, errors.EmptyDatasetError)):
             load_file(spark, write(tmp_path / f"cut{k}.xml", text))
+
+
+# ---- line breaks inside quotes ----------------------------------------------------------
+
+def odd_records(n=400):
+    cell = ['plain', '"a\nb"', '"x ""y"" \n\n, z"', '', '5" wide', '"\n"', 'é', '"""\n"""', ' "no quote', '"q"']
+    lines = [",".join(cell[(k * m + m) % len(cell)] for m in (1, 3, 7)) for k in range(n)]
+    return "one,two,three\n" + "\n".join(lines)
+
+
+def test_records_at_every_range_size(tmp_path):
+    from tablens.sources.ranges import Bytes, aligned
+    from tablens.sources.records import Cutter
+
+    path = tmp_path / "r.csv"
+    path.write_bytes(odd_records(60).encode())
+    size, cutter = path.stat().st_size, Cutter(",", '"', "utf-8")
+    with Bytes(f"file:{path}", 0, size) as source:
+        expected = list(cutter.records(source, 0, size, 0))
+    assert len(expected) == 61
+    for step in (*range(3, 200, 7), 1000):
+        state, got = 0, []
+        for start in range(0, size, step):
+            with Bytes(f"file:{path}", max(0, start - 1), size) as source:
+                low, high = aligned(source, start, min(size, start + step), b"\n", True)
+                if low < high:
+                    found = cutter.report(source.data[low - source.start : high - source.start])
+                    got += cutter.records(source, low, high, state)
+                    state = found[state][0]
+        assert got == expected, step
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_quoted_line_breaks_as_in_one_task(spark, tmp_path, monkeypatch, ends):
+    from tablens.sources import ranges
+
+    monkeypatch.setattr(ranges, "RANGE_BYTES", 700)
+    path = write(tmp_path / "q.csv", odd_records().replace("\n", ends))
+    options = {"header": True, "sep": ",", "quote": '"', "escape": '"', "multiLine": True, "inferSchema": False}
+    expected = spark.read.options(**options).csv(path)
+    got = load_file(spark, path, multi_line=True, has_header=True, sep=",", quote_char='"')
+    key = lambda rows: sorted(map(str, rows))
+    assert key(tuple(x if x and x.strip() else None for x in r) for r in got.collect()) == key(
+        tuple(x if x and x.strip() else None for x in r) for r in expected.collect()
+    )
+    assert got.count() == 400 and got.rdd.getNumPartitions() > 8
