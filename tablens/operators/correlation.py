@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import as_number, chunks, collect_metrics, numeric_columns, spread, union_all
-from .order import attach_ranks
+from .order import pairwise_ranks
 
 PAIRS_PER_PASS = 300
 _SCHEMA = "col_a string, col_b string, correlation double, n bigint"
@@ -111,39 +111,18 @@ def strong_correlations(
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Spearman correlation per pair: Pearson on average ranks of the pair's complete rows.
-
-    Columns without nulls are ranked once. A pair with nulls ranks each side over the rows
-    where both are present, as an extra expression in the same passes.
-    """
+    """Spearman correlation per pair: Pearson on average ranks of the pair's complete rows."""
     names = list(columns or numeric_columns(df))
-    numbers = {c: as_number(df, c) for c in names}
-    facts = collect_metrics(
-        df, names, {"complete": lambda c: F.count(numbers[c]) == F.count("*")}
-    )
-    complete = {c for c in names if facts[c]["complete"]}
-    ranked: dict[tuple[str, str | None], Column] = {}
-    sides: list[tuple] = []
-    for a, b in combinations(names, 2):
-        if b in complete:
-            left = (a, None)
-            ranked[left] = numbers[a]
-        else:
-            left = (a, b)
-            ranked[left] = F.when(numbers[b].isNotNull(), numbers[a])
-        if a in complete:
-            right = (b, None)
-            ranked[right] = numbers[b]
-        else:
-            right = (b, a)
-            ranked[right] = F.when(numbers[a].isNotNull(), numbers[b])
-        sides.append((a, b, left, right))
-    if not sides:
+    pairs = list(combinations(names, 2))
+    if not pairs:
         return df.sparkSession.createDataFrame([], _SCHEMA)
-    aliases = {key: f"k{i}" for i, key in enumerate(ranked)}
-    ranks = attach_ranks(df, {aliases[k]: v for k, v in ranked.items()})
-    values = {alias: F.col(alias) for alias in aliases.values()}
-    named = {(aliases[left], aliases[right]): (a, b) for a, b, left, right in sides}
+    numbers = {f"c{i}": as_number(df, c) for i, c in enumerate(names)}
+    ranks, place = pairwise_ranks(df, numbers)
+    own = dict(zip(names, numbers))
+    # each side's ranks among the rows that have the other side
+    sides = {(a, b): f"{own[a]}_{place[own[b]]}" for pair in pairs for a, b in (pair, pair[::-1])}
+    values = {sides[a, b]: F.col(own[a])[place[own[b]]] for a, b in sides}
+    named = {(sides[a, b], sides[b, a]): (a, b) for a, b in pairs}
     moments = _pair_moments(ranks, values, list(named))
     label = F.create_map(
         *[x for pair, (a, b) in named.items() for x in (

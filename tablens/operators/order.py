@@ -8,6 +8,7 @@ own partition. Range boundaries are sampled per job, hence the ``cut`` between t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,7 +21,6 @@ from .columns import chunks, quoted, spread, union_all
 BROADCAST_RANKS = 200_000
 # Values holding at least this share of a column go into the (small) hot-value table.
 HOT_SHARE = 0.001
-SALTS = 1024
 
 
 def global_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index") -> DataFrame:
@@ -119,64 +119,68 @@ def average_ranks(counts: DataFrame) -> DataFrame:
     )
 
 
-def attach_ranks(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """One row per row of ``df`` with the average rank of each expression, null for null.
+def pairwise_ranks(df: DataFrame, values: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """One row per row of ``df`` with an array of average ranks per expression, null for null.
+
+    The first rank counts all rows in which the expression is there; the others only the rows in which
+    another expression is there as well, one for each expression that has nulls. The second result
+    says at which place of the arrays the ranks for a partner stand.
 
-    Rank tables of bounded size are broadcast. Larger ones are joined by shuffle after the
-    values that fill more than ``HOT_SHARE`` of a column (at most ``1 / HOT_SHARE`` of them)
-    are served from a broadcast table, so no value can overload one task of the shuffle.
+    Cells go through the work in long form under a number of their row, so that the number of jobs,
+    shuffles and joins does not depend on the number of expressions or on their nulls: value counts
+    (one per partner) are summed up in one range partitioning, one join by value brings the ranks to
+    the cells, and one grouping by row brings them together. Values that fill more than ``HOT_SHARE``
+    of the rows (at most ``1 / HOT_SHARE`` of each expression) are joined by broadcast.
     """
     names = list(values)
-    ranks = cut(average_ranks(long_counts(df, values)))
-    sizes = {
-        r["name"]: (r["size"], r["total"])
-        for r in ranks.groupBy("name")
-        .agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-        .collect()
-    }
-    large = {n for n, (size, _) in sizes.items() if size > BROADCAST_RANKS}
-    out = df.select(*[values[n].alias(f"__v{i}") for i, n in enumerate(names)])
-    if large:
-        # stored once, so that the salt of a row is the same in every retry of a task
-        out = cut(out).withColumn(
-            "__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
-        )
-    for i, name in enumerate(names):
-        table = ranks.where(F.col("name") == name).select(
-            F.col("value").alias(f"__v{i}"), F.col("rank").alias(f"__r{i}"), "n"
-        )
-        if name in large:
-            out = _join_split(out, table, i, sizes[name][1] * HOT_SHARE)
-        else:
-            out = out.join(F.broadcast(table.drop("n")), f"__v{i}", "left")
-    return out.select(*[F.col(f"__r{i}").alias(n) for i, n in enumerate(names)])
-
+    every = [f"v{i}" for i in range(len(names))]
+    rows = spread(df.select(*[values[n].alias(v) for n, v in zip(names, every)]))
+    # stored once, so that a row has the same number in every retry of a task
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    filled = rows.agg(F.count("*").alias("n"), *[F.count(v).alias(v) for v in every]).first()
+    gappy = [v for v in every if filled[v] < filled["n"]]
+    words = []
+    for k, group in enumerate(chunks(gappy, 62)):
+        bits = [F.when(F.col(v).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, v in enumerate(group)]
+        words.append(reduce(Column.bitwiseOR, bits).alias(f"there{k}"))
+    cells = (
+        rows.select("row", *words, *every)
+        .unpivot(["row", *[f"there{k}" for k in range(len(words))]], every, "id", "value")
+        .where(F.col("value").isNotNull())
+        .withColumn("id", F.substring("id", 2, 9).cast("int"))
+    )
+    sizes = ["n0", *[f"n{k + 1}" for k in range(len(gappy))]]
+    there = [F.sum(F.shiftright(f"there{k // 62}", k % 62).bitwiseAND(F.lit(1))) for k in range(len(gappy))]
+    counts = cells.groupBy("id", "value").agg(*[x.alias(n) for n, x in zip(sizes, [F.count("*"), *there])])
+    ranks = cut(_ranks_by_partner(counts, sizes))
+    if ranks.count() <= BROADCAST_RANKS:
+        ranked = cells.join(F.broadcast(ranks.drop("n0")), ["id", "value"])
+    else:
+        hot_from = HOT_SHARE * filled["n"]
+        hot = F.broadcast(ranks.where(F.col("n0") >= hot_from).drop("n0"))
+        cold = ranks.where(F.col("n0") < hot_from).drop("n0")
+        others = cells.join(hot, ["id", "value"], "left_anti").join(cold, ["id", "value"])
+        ranked = cells.join(hot, ["id", "value"]).select("row", "id", "ranks").unionByName(others.select("row", "id", "ranks"))
+    together = ranked.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("id", "ranks"))).alias("cells"))
+    out = together.select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
+    nothing = rows.where(reduce(Column.__and__, [F.col(v).isNull() for v in every]))
+    out = out.unionByName(nothing.select(*[F.lit(None).cast(out.schema[n].dataType).alias(n) for n in names]))
+    return out, {n: gappy.index(v) + 1 if v in gappy else 0 for n, v in zip(names, every)}
+
+
+def _ranks_by_partner(counts: DataFrame, sizes: Sequence[str]) -> DataFrame:
+    """``(id, value, n0, ranks)``: the mean rank of each value for each of its counts."""
+    placed = cut(counts.repartitionByRange("id", "value").withColumn("__part", F.spark_partition_id()))
+    before = W.partitionBy("id").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("id", "__part").agg(*[F.sum(n).alias(n) for n in sizes])
+    starts = totals.select("id", "__part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"start_{n}") for n in sizes])
+    inside = W.partitionBy("id", "__part").orderBy("value")
+    placed = placed.withColumns({f"upto_{n}": F.sum(n).over(inside) for n in sizes})
+    rank = [F.col(f"start_{n}") + F.col(f"upto_{n}") - (F.col(n) - 1) / 2 for n in sizes]
+    return placed.join(F.broadcast(starts), ["id", "__part"]).select("id", "value", "n0", F.array(*rank).alias("ranks"))
 
-def _join_split(rows: DataFrame, table: DataFrame, i: int, hot_from: float) -> DataFrame:
-    """Left join of ranks by value: hot values by broadcast, the others by shuffle.
 
-    Rows that need no shuffled match (hot or missing values) keep a null key and are spread
-    by their salt; the rank table has a null salt, so such rows match nothing there.
-    """
-    value, rank = f"__v{i}", f"__r{i}"
-    hot = table.where(F.col("n") >= hot_from).select(value, F.col(rank).alias("__hot"))
-    cold = table.where(F.col("n") < hot_from).select(
-        F.col(value).alias("__cold_value"), F.col(rank).alias("__cold")
-    )
-    needs_match = F.col("__hot").isNull() & F.col(value).isNotNull()
-    keyed = (
-        rows.join(F.broadcast(hot), value, "left")
-        .withColumn("__key", F.when(needs_match, F.col(value)))
-        .withColumn("__spread", F.when(~needs_match, F.col("__salt")))
-    )
-    cold = cold.withColumn("__no_spread", F.lit(None).cast("bigint"))
-    return (
-        keyed.join(
-            cold,
-            F.col("__key").eqNullSafe(F.col("__cold_value"))
-            & F.col("__spread").eqNullSafe(F.col("__no_spread")),
-            "left",
-        )
-        .withColumn(rank, F.coalesce("__hot", "__cold"))
-        .drop("__hot", "__cold", "__key", "__cold_value", "__spread", "__no_spread")
-    )
+def attach_ranks(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """One row per row of ``df`` with the average rank of each expression, null for null."""
+    ranks, _ = pairwise_ranks(df, values)
+    return ranks.select(*[quoted(n)[0].alias(n) for n in values])
