@@ -26,13 +26,14 @@ HOT_SHARE = 0.001
 def global_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index") -> DataFrame:
     """``order_by`` columns plus the 0-based position of each row in their order.
 
-    ``order_by`` should be unique: rows that tie on all of it are interchangeable here.
-    Only the ordering columns are shuffled.
+    ``order_by`` should be unique: rows that tie on all of it are interchangeable here, and
+    are spread over as many tasks as they fill. Only the ordering columns are shuffled.
     """
     keys = [quoted(c) for c in order_by]
     placed = cut(
-        df.select(*keys)
-        .repartitionByRange(*keys)
+        df.select(*keys, F.monotonically_increasing_id().alias("__row"))
+        .repartitionByRange(*keys, "__row")
+        .drop("__row")
         .withColumn("__part", F.spark_partition_id())
     )
     before = F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
@@ -57,17 +58,16 @@ def file_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """
     tagged = df.withColumn("__at", F.monotonically_increasing_id())
     part = F.shiftright("__at", 33)
-    sizes = {
-        r["part"]: r["n"]
-        for r in tagged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
-    }
-    starts, total = [], 0
-    for p in range(max(sizes, default=0) + 1):
-        starts.append(total)
-        total += sizes.get(p, 0)
-    start = F.element_at(F.lit(starts).cast("array<bigint>"), (part + 1).cast("int"))
-    offset = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return tagged.withColumn(name, start + offset).drop("__at")
+    sizes = tagged.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # a record per task
+    before = F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    starts = F.broadcast(sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start")))
+    index = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        tagged.withColumn("__part", part)
+        .join(starts, "__part")
+        .withColumn(name, index)
+        .drop("__part", "__start", "__at")
+    )
 
 
 def long_counts(df: DataFrame, values: dict[str, Column], *keys: str) -> DataFrame:

@@ -148,3 +148,54 @@ def test_histogram_leaves_out_infinities(spark):
 
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("inf"),)], "v double")
     assert sum(r.n for r in histogram(df, ["v"], 2).collect()) == 3
+
+
+# ---- large samples ----------------------------------------------------------------------
+
+def by_draws(rows, group, draws, k):
+    """The k rows of each group with the smallest draws, sorted on the driver."""
+    groups = {}
+    for row in rows:
+        if row[group] is not None:
+            groups.setdefault(row[group], []).append(tuple(row))
+    return sorted(sum((sorted(x, key=draws)[:k] for x in groups.values()), []))
+
+
+@pytest.mark.parametrize("k", [1, 37, 400, 5000])
+def test_smallest_draws_are_those_of_sorting(spark, k):
+    rng = np.random.default_rng(8)
+    rows = [(str(g), int(a), int(b)) for g, a, b in zip(rng.integers(0, 4, 3000), rng.integers(-(2**62), 2**62, 3000), rng.integers(-5, 5, 3000))]
+    rows += [("hot", int(a), int(b)) for a, b in zip(rng.integers(-3, 3, 3000), rng.integers(-3, 3, 3000))]  # many ties
+    rows += [("copies", 7, 7)] * 900 + [("few", 1, 2), (None, 0, 0), ("edge", -(2**63), 2**63 - 1), ("edge", 2**63 - 1, -(2**63))]
+    df = spark.createDataFrame(rows, "g string, a long, b long").repartition(5)
+    got = sampling.smallest_draws(df, F.col("g"), [F.col("a"), F.col("b")], k)
+    assert sorted(map(tuple, got.collect())) == by_draws(rows, 0, lambda r: r[1:], k)
+    assert got.columns == df.columns
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_systematic_sample_of_tied_and_equal_rows(spark):
+    rows = [(1, f"r{k}") for k in range(300)] + [(1, "copy")] * 500 + [(2, "x"), (None, "y")]
+    df = spark.createDataFrame(rows, "k long, v string").repartition(4)
+    got = sampling.systematic_sample(df, 100, ["k"])
+    assert got.count() == len(range(0, 802, 8)) and got.columns == ["k", "v"]
+    seen = [tuple(r) for r in got.collect()]
+    assert not {tuple(r) for r in seen} - set(rows)
+    assert 40 <= sum(v == "copy" for _, v in seen) <= 80
+    unique = [v for _, v in seen if v != "copy"]
+    assert len(unique) == len(set(unique))
+    assert sorted(seen, key=str) == sorted(map(tuple, sampling.systematic_sample(df.repartition(3), 100, ["k"]).collect()), key=str)
+
+
+def test_a_key_on_most_rows_stays_in_many_tasks(spark):
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, 5).otherwise(F.col("id")).alias("k")).repartition(8)
+    from tablens.operators import order
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # else a small table is one task
+    try:
+        placed = order.global_index(df, ["k"])
+        parts = placed.where("k = 5").groupBy(F.spark_partition_id()).count().count()
+        positions = placed.selectExpr("count(distinct row_index)").first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts > 4 and positions == 40_000
