@@ -301,26 +301,29 @@ def category_boxes(
     top_n: int = 2,
 ) -> DataFrame:
     """Boxes of the numeric columns most associated with each small categorical column."""
-    parts = []
     names = list(categories or categorical_columns(df)[:2])
     sizes = bounded_counts(df, names, max_categories)
-    for category in names:
-        if sizes[category] > max_categories:
-            continue
-        for row in kruskal_ranking(df, category, columns or numeric_columns(df), top_n).collect():
-            parts.append(
-                box_stats(df, category, row["column_name"], max_categories).select(
-                    F.lit(category).alias("category_column"),
-                    F.lit(row["column_name"]).alias("value_column"),
-                    "*",
-                )
-            )
-    if not parts:
-        return df.sparkSession.createDataFrame(
-            [],
-            "category_column string, value_column string, category string, n bigint, q1 double, median double, q3 double, whisker_low double, whisker_high double, fliers bigint",
-        )
-    return union_all(parts)
+    pairs = [
+        (category, row["column_name"])
+        for category in names
+        if sizes[category] <= max_categories
+        for row in kruskal_ranking(df, category, columns or numeric_columns(df), top_n).collect()
+    ]
+    # the boxes of all pairs share their passes: one expression per pair and category value
+    labels = {c: as_text(df, c) for c, _ in pairs}
+    found = df.select(*[F.collect_set(x).alias(f"l{i}") for i, x in enumerate(labels.values())]).first() if pairs else []
+    values = {}
+    named = []
+    for category, column in pairs:
+        for label in sorted(found[list(labels).index(category)]):
+            key = str(len(named))
+            named.append((key, category, column, label))
+            values[key] = F.when(labels[category] == label, as_number(df, column))
+    boxes = _boxes(df, values)
+    table = df.sparkSession.createDataFrame(named, "column_name string, category_column string, value_column string, category string")
+    return boxes.join(F.broadcast(table), "column_name").select(
+        "category_column", "value_column", "category", *[c for c in boxes.columns if c != "column_name"]
+    )
 
 
 # ---- the most extreme column ---------------------------------------------------------

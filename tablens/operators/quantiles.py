@@ -1,53 +1,33 @@
 """Exact order statistics of many numeric columns without sorting the table.
 
-1. A mergeable quantile sketch, of a sample when the table is large, guesses a bracket for
-   every wanted rank (no shuffle of rows).
-2. Counting the values below and inside each bracket proves the bracket (one scan).
-   While a bracket holds more than ``CANDIDATES`` values, it is sketched again from the
-   inside; each round divides it by several hundred.
-3. The few bracketed values are counted per distinct value and the wanted rank is read off.
-
-Only bounds, counts and the answers reach the driver: a few numbers per column and rank.
+All columns and all ranks go through the same jobs in long form, as ``(id, value)`` cells:
+
+1. Cells are counted per interval of a fixed logarithmic scale, each task for itself before the
+   shuffle; least and largest value of each interval come along.
+2. Running sums find the interval of every wanted rank. While one holds more than ``CANDIDATES``
+   values, it is cut into ``STEPS`` intervals from its least to its largest value and counted again.
+3. The values of the remaining intervals are counted and the ranks are read off.
+
+An interval is a set of neighbouring values whatever rounding does, since every scale used is monotone;
+so the answers are exact. Only a few numbers per column and rank reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .columns import chunks
+from ..storage import cut
+from .columns import chunks, spread, union_all
 
-SKETCH_ACCURACY = 1000
 CANDIDATES = 1_000_000
-# Rows the first brackets are guessed from, and the smallest share of a large table to take.
-SAMPLED_ROWS = 200_000
-SMALLEST_SHARE = 0.001
-TARGETS_PER_PASS = 30
-
-
-@dataclass
-class _Target:
-    """One wanted order statistic of one expression, and what is known about it."""
-
-    key: str
-    value: Column
-    rank: int
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
-
-    @property
-    def solved(self) -> bool:
-        return self.low == self.high
-
-    def bracketed(self) -> Column:
-        return F.when(self.value.between(F.lit(self.low), F.lit(self.high)), self.value)
+STEPS = 1 << 16
+PER_E = 46  # intervals by which values grow to the e-fold
+COLUMNS_PER_SCAN = 200
 
 
 def nearest_rank(n: int, q: float) -> list[int]:
@@ -70,161 +50,105 @@ def quantiles(
     """Exact quantiles of each expression (nulls ignored), in the order of ``probabilities``.
 
     ``method`` is ``"nearest"`` (an observed value) or ``"linear"`` (interpolated).
-    An expression without values gives ``None``.
+    An expression without values gives ``None``. The number of jobs does not depend on the number of
+    expressions and probabilities.
     """
     ranks_of = {"nearest": nearest_rank, "linear": linear_ranks}[method]
     if not values:
         return {}
-    sizes, brackets = _first_sketch(df, values, probabilities)
-    targets: dict[tuple[str, int], _Target] = {}
-    for key, value in values.items():
-        for i, q in enumerate(probabilities):
-            for rank in ranks_of(sizes[key], q) if sizes[key] else []:
-                low, high = brackets[key][i]
-                known = targets.setdefault((key, rank), _Target(key, value, rank, low, high))
-                if high - low < known.high - known.low:
-                    known.low, known.high = low, high
-    answers = _select(df, list(targets.values()), brackets)
+    cells = _cells(df, list(values.values()))
+    counts = cut(_counted(cells.withColumn("place", _log_place()), "id"))
+    sizes = {r["id"]: r["n"] for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    wanted = sorted({(i, rank) for i, n in sizes.items() for q in probabilities for rank in ranks_of(n, q)})
+    found = _select(cells, counts, wanted)
     result: dict[str, list[float | None]] = {}
-    for key in values:
-        n = sizes[key]
+    for i, key in enumerate(values):
+        n = sizes.get(i, 0)
         row: list[float | None] = []
         for q in probabilities:
             if not n:
                 row.append(None)
                 continue
-            picked = [answers[key, r] for r in ranks_of(n, q)]
+            picked = [found[i, r] for r in ranks_of(n, q)]
             weight = (n - 1) * q - math.floor((n - 1) * q) if method == "linear" else 0.0
-            row.append(picked[0] + (picked[-1] - picked[0]) * weight)
+            # equal neighbours need no arithmetic, which infinite ones would spoil
+            row.append(picked[0] if picked[0] == picked[-1] or not weight else picked[0] + (picked[-1] - picked[0]) * weight)
         result[key] = row
     return result
 
 
-def _first_sketch(df, values, probabilities):
-    """Sizes, and for every probability a bracket that should hold its order statistic.
+def _cells(df: DataFrame, values: Sequence[Column]) -> DataFrame:
+    """``(id, value)`` of all values that are there."""
+    names = [f"v{i}" for i in range(len(values))]
+    wide = spread(df.select(*[v.cast("double").alias(n) for v, n in zip(values, names)]))
+    parts = [wide.select(*group).unpivot([], list(group), "id", "value") for group in chunks(names, COLUMNS_PER_SCAN)]
+    cells = union_all(parts).where(F.col("value").isNotNull())
+    return cells.select(F.substring("id", 2, 9).cast("int").alias("id"), "value")
 
-    Large tables are sketched from a sample, with brackets widened by its error. A bracket is
-    a guess either way: the exact counts that follow prove or reject it.
-    """
-    keys = list(values)
-    sizes: dict[str, int] = {}
-    ends: dict[str, tuple] = {}
-    rows = 0
-    for group in chunks(keys, TARGETS_PER_PASS // 2):
-        row = df.agg(
-            F.count("*").alias("rows"),
-            *[F.count(values[k]).alias(f"n{i}") for i, k in enumerate(group)],
-            *[F.min(values[k]).alias(f"lo{i}") for i, k in enumerate(group)],
-            *[F.max(values[k]).alias(f"hi{i}") for i, k in enumerate(group)],
-        ).first()
-        rows = row["rows"]
-        for i, key in enumerate(group):
-            sizes[key], ends[key] = row[f"n{i}"], (row[f"lo{i}"], row[f"hi{i}"])
-    share = max(SAMPLED_ROWS / max(rows, 1), SMALLEST_SHARE)
-    sampled = df.sample(share, seed=1) if share < 0.5 else df
-    brackets: dict[str, list] = {}
-    for group in chunks([k for k in keys if sizes[k]], TARGETS_PER_PASS // 2):
-        wanted = {}
-        for key in group:
-            error = 0.0 if sampled is df else 2.0 / math.sqrt(sizes[key] * share)
-            margin = 2.5 / SKETCH_ACCURACY + error
-            wanted[key] = [(max(0.0, q - margin), min(1.0, q + margin)) for q in probabilities]
-        row = sampled.agg(
-            *[
-                F.percentile_approx(values[k], [p for pair in wanted[k] for p in pair], SKETCH_ACCURACY).alias(f"q{i}")
-                for i, k in enumerate(group)
-            ]
-        ).first()
-        for i, key in enumerate(group):
-            low, high = ends[key]
-            points = row[f"q{i}"] or [low, high] * len(probabilities)
-            brackets[key] = [
-                (low if p == 0.0 else points[2 * j], high if r == 1.0 else points[2 * j + 1])
-                for j, (p, r) in enumerate(wanted[key])
-            ] + [ends[key]]
-    return sizes, brackets
-
-
-def _count(df: DataFrame, targets: Sequence[_Target]) -> None:
-    for group in chunks(targets, TARGETS_PER_PASS):
-        row = df.agg(
-            *[F.count_if(t.value < F.lit(t.low)).alias(f"b{i}") for i, t in enumerate(group)],
-            *[F.count(t.bracketed()).alias(f"c{i}") for i, t in enumerate(group)],
-        ).first()
-        for i, t in enumerate(group):
-            t.below, t.inside = row[f"b{i}"], row[f"c{i}"]
-
-
-def _select(df, targets, brackets) -> dict[tuple[str, int], float]:
-    if not targets:
-        return {}
-    _count(df, targets)
-    missed = [t for t in targets if not t.below <= t.rank < t.below + t.inside]
-    for t in missed:  # the sketch missed its guarantee: start again from the full range
-        t.low, t.high = brackets[t.key][-1]
-    if missed:
-        _count(df, missed)
-    while wide := [t for t in targets if not t.solved and t.inside > CANDIDATES]:
-        _narrow(df, wide)
-    open_targets = [t for t in targets if not t.solved]
-    answers = {(t.key, t.rank): t.low for t in targets if t.solved}
-    for group in chunks(open_targets, TARGETS_PER_PASS):
-        answers |= _read_off(df, group)
-    return answers
-
-
-def _narrow(df: DataFrame, targets: Sequence[_Target]) -> None:
-    """Shrink brackets that hold too many values, keeping those that cannot shrink."""
-    margin = 2.5 / SKETCH_ACCURACY
-    before = {id(t): (t.low, t.high) for t in targets}
-    for group in chunks(targets, TARGETS_PER_PASS // 2):
-        row = df.agg(
-            *[
-                F.percentile_approx(
-                    t.bracketed(),
-                    [
-                        max(0.0, (t.rank - t.below) / t.inside - margin),
-                        (t.rank - t.below) / t.inside,
-                        min(1.0, (t.rank - t.below) / t.inside + margin),
-                    ],
-                    SKETCH_ACCURACY,
-                ).alias(f"q{i}")
-                for i, t in enumerate(group)
-            ]
-        ).first()
-        for i, t in enumerate(group):
-            t.low, t.high = row[f"q{i}"][0], row[f"q{i}"][2]
-    _count(df, targets)
-    for t in targets:
-        if not t.below <= t.rank < t.below + t.inside or (t.low, t.high) == before[id(t)]:
-            # split the old bracket in the middle instead, which always makes progress
-            low, high = before[id(t)]
-            t.low, t.high = low, low + (high - low) / 2
-            _count(df, [t])
-            if not t.rank < t.below + t.inside:
-                t.low, t.high = math.nextafter(t.high, math.inf), high
-                _count(df, [t])
-
-
-def _read_off(df: DataFrame, targets: Sequence[_Target]) -> dict[tuple[str, int], float]:
-    names = [f"t{i}" for i in range(len(targets))]
-    candidates = (
-        df.select(*[t.bracketed().alias(n) for n, t in zip(names, targets)])
-        .where(F.coalesce(*names).isNotNull())
-        .unpivot([], names, "t", "v")
-        .where(F.col("v").isNotNull())
-    )
-    facts = F.create_map(
-        *[F.lit(x) for n, t in zip(names, targets) for x in (n, t.rank - t.below)]
-    )
-    counted = candidates.groupBy("t", "v").agg(F.count("*").alias("n"))
-    running = F.sum("n").over(W.partitionBy("t").orderBy("v"))
-    rows = (
-        counted.withColumn("upto", running)
-        .where(F.col("upto") > facts[F.col("t")])
-        .groupBy("t")
-        .agg(F.min("v").alias("v"))
-        .collect()
+
+def _log_place() -> Column:
+    """The interval of a value on the logarithmic scale; infinite ones have their own."""
+    size = F.least(F.log1p(F.abs("value")), F.lit(1000.0))
+    return F.floor(F.signum("value") * size * PER_E)
+
+
+def _counted(cells: DataFrame, *keys: str) -> DataFrame:
+    return cells.groupBy(*keys, "place").agg(
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    by_name = dict(zip(names, targets))
-    return {(by_name[r["t"]].key, by_name[r["t"]].rank): r["v"] for r in rows}
+
+
+def _select(cells: DataFrame, counts: DataFrame, wanted: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """The value of each wanted ``(id, rank)``."""
+    if not wanted:
+        return {}
+    spark = cells.sparkSession
+    # (id, rank, what is left of the rank inside the interval, the interval's values and bounds)
+    brackets = _crossed(counts, [(i, rank, rank, None) for i, rank in wanted])
+    found = {(b["id"], b["rank"]): b["low"] for b in brackets if b["low"] == b["high"]}
+    still = [b for b in brackets if b["low"] < b["high"]]
+    while wide := [b for b in still if b["n"] > CANDIDATES]:
+        ranges = sorted({(b["id"], b["low"], b["high"]) for b in wide})
+        numbers = {x: k for k, x in enumerate(ranges)}
+        here = _inside(cells, [(k, *x) for x, k in numbers.items()])
+        share = (F.col("value") / 2 - F.col("from") / 2) / (F.col("to") / 2 - F.col("from") / 2)
+        again = cut(_counted(here.withColumn("place", F.floor(share * STEPS)), "range"))
+        parts = _crossed(
+            again.withColumnRenamed("range", "id"),
+            [(numbers[b["id"], b["low"], b["high"]], b["rank"], b["left"], b["id"]) for b in wide],
+        )
+        still = [b for b in still if b["n"] <= CANDIDATES]
+        for b in parts:
+            b["id"] = b["owner"]
+            if b["low"] == b["high"]:
+                found[b["id"], b["rank"]] = b["low"]
+            else:
+                still.append(b)
+    if still:
+        numbers = {x: k for k, x in enumerate(sorted({(b["id"], b["low"], b["high"]) for b in still}))}
+        here = _inside(cells, [(k, *x) for x, k in numbers.items()]).groupBy("range", "value").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("range").orderBy("value"))
+        asked = spark.createDataFrame(
+            [(numbers[b["id"], b["low"], b["high"]], b["id"], b["rank"], b["left"]) for b in still],
+            "range int, id int, rank bigint, left bigint",
+        )
+        hit = here.withColumn("upto", upto).join(F.broadcast(asked), "range")
+        hit = hit.where((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
+        found |= {(r["id"], r["rank"]): r["value"] for r in hit.select("id", "rank", "value").collect()}
+    return found
+
+
+def _crossed(counts: DataFrame, wanted: list[tuple]) -> list[dict]:
+    """For each ``(id, rank, left, owner)`` the interval that holds place ``left`` of an id's values."""
+    asked = counts.sparkSession.createDataFrame(wanted, "id int, rank bigint, left bigint, owner int")
+    upto = F.sum("n").over(W.partitionBy("id").orderBy("place"))  # a row per interval
+    met = counts.withColumn("upto", upto).join(F.broadcast(asked), "id")
+    met = met.where((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
+    left = F.col("left") - (F.col("upto") - F.col("n"))
+    return [r.asDict() for r in met.select("id", "rank", "owner", left.alias("left"), "n", "low", "high").collect()]
+
+
+def _inside(cells: DataFrame, ranges: list[tuple[int, int, float, float]]) -> DataFrame:
+    """Cells in ranges ``(range, id, from, to)``."""
+    table = cells.sparkSession.createDataFrame(ranges, "range int, id int, from double, to double")
+    return cells.join(F.broadcast(table), "id").where(F.col("value").between(F.col("from"), F.col("to"))).drop("id")

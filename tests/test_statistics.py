@@ -35,7 +35,7 @@ def test_linear_quantiles_match_numpy(spark):
 def test_quantiles_narrow_wide_brackets(spark, monkeypatch):
     """With a tiny candidate limit every bracket is narrowed again, and stays exact."""
     monkeypatch.setattr(quantiles, "CANDIDATES", 3)
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 20)
+    monkeypatch.setattr(quantiles, "STEPS", 20)
     rng = np.random.default_rng(3)
     data = np.concatenate([rng.lognormal(sigma=4, size=3000), np.zeros(1500), -rng.random(500)])
     df = spark.createDataFrame(pd.DataFrame({"v": data})).repartition(7)
@@ -43,10 +43,9 @@ def test_quantiles_narrow_wide_brackets(spark, monkeypatch):
     assert got == [np.sort(data)[math.floor((len(data) - 1) * q + 0.5)] for q in (0.1, 0.5, 0.9)]
 
 
-@pytest.mark.parametrize("sampled_rows", [1, 40, 500])
-def test_quantiles_do_not_depend_on_the_sample(spark, monkeypatch, sampled_rows):
-    """Brackets guessed from a few rows are rejected by the counts when they miss."""
-    monkeypatch.setattr(quantiles, "SAMPLED_ROWS", sampled_rows)
+@pytest.mark.parametrize("candidates", [1, 40, 500])
+def test_quantiles_do_not_depend_on_the_limits(spark, monkeypatch, candidates):
+    monkeypatch.setattr(quantiles, "CANDIDATES", candidates)
     rng = np.random.default_rng(11)
     frame = pd.DataFrame({"a": rng.standard_cauchy(4000), "b": np.where(rng.random(4000) < 0.99, np.nan, 1.0) * rng.random(4000)})
     df = spark.createDataFrame(frame).replace(float("nan"), None)
@@ -56,6 +55,26 @@ def test_quantiles_do_not_depend_on_the_sample(spark, monkeypatch, sampled_rows)
         assert got[c] == [ordered[math.floor((len(ordered) - 1) * q + 0.5)] for q in (0.25, 0.5, 0.75)]
 
 
+def test_quantiles_of_extreme_values(spark):
+    data = [float("-inf"), -1e308, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.0 + 2**-52, 1e308, float("inf"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in data * 3], "v double")
+    marks = [k / 35 for k in range(36)]
+    got = quantiles.quantiles(df, {"v": F.col("v")}, marks)["v"]
+    assert got == sorted(data * 3)
+
+
+def test_quantiles_take_the_same_jobs_for_any_number_of_columns(spark):
+    def jobs(n):
+        df = spark.range(500).select(*[((F.col("id") * 7919 * (k + 1)) % 1009).cast("double").alias(f"c{k}") for k in range(n)])
+        spark.sparkContext.setJobGroup(f"quantiles{n}", "")
+        got = quantiles.quantiles(df, {c: F.col(c) for c in df.columns}, (0.25, 0.5, 0.75), "linear")
+        spark.sparkContext.setJobGroup("", "")
+        assert len(got) == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"quantiles{n}"))
+
+    assert jobs(10) == jobs(60)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert quantiles.quantiles(df, {"v": F.col("v")}, (0.5,)) == {"v": [None]}
