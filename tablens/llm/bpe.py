@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame
 from .words import frequent_words
 
 FREQUENT = 32768  # words in the transducer
-CACHED = 300_000  # words that a worker remembers
-AT_ONCE = 1 << 20  # characters of texts that are split before their words are looked up
+CACHED = 600_000  # words that a worker remembers
+SPECIAL = "\0"  # added to special strings among words
+AT_ONCE = 4 << 20  # characters of texts that are split before their words are looked up
 
 # fixed value: how byte-level vocabularies split a text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -236,6 +238,35 @@ class Transducer:
         self.keys, self.to, self.skip = part("q", size), part("i", size), part("i", size)
         self.ends, self.flat, self.final = part("i", ends), part("i", flat), part("b", final)
 
+    def find_all(self, words: list[bytes]) -> list[list[int] | None]:
+        """``find`` of many words: those of one length go through the automaton side by side."""
+        found: list[list[int] | None] = [None] * len(words)
+        keys, to, skip = (np.frombuffer(x, kind) for x, kind in ((self.keys, np.int64), (self.to, np.int32), (self.skip, np.int32)))
+        by_length: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            if word:
+                by_length.setdefault(len(word), []).append(k)
+        for length, places in by_length.items():
+            at = np.array(places)
+            raw = np.frombuffer(b"".join([words[k] for k in places]), np.uint8).reshape(-1, length)
+            state, number = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            for column in range(length):
+                if not len(at):
+                    break
+                key = state << 8 | raw[:, column]
+                slot = ((key * self.FACTOR) >> 7) & self.mask
+                open_rows = np.flatnonzero((keys[slot] != key) & (keys[slot] >= 0))
+                while len(open_rows):
+                    slot[open_rows] = (slot[open_rows] + 1) & self.mask
+                    open_rows = open_rows[(keys[slot[open_rows]] != key[open_rows]) & (keys[slot[open_rows]] >= 0)]
+                hit = keys[slot] == key
+                raw, at, slot, number = raw[hit], at[hit], slot[hit], number[hit]
+                state, number = to[slot].astype(np.int64), number + skip[slot]
+            for k, last, n in zip(at.tolist(), state.tolist(), number.tolist()):
+                if self.final[last]:
+                    found[k] = self.flat[self.ends[n] : self.ends[n + 1]].tolist()
+        return found
+
     def find(self, word: bytes) -> list[int] | None:
         state = number = 0
         keys, mask = self.keys, self.mask
@@ -274,35 +305,47 @@ def bpe(
     del merges, find
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the tables below are large and have no cycles
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = splitter()
         merges, lexicon = Merges(tokenizer_file), Transducer(shared.value)
         piece = merges.pieces.__getitem__
         special = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")") if merges.special else None
 
-        def entry(ids: list[int]) -> tuple:
-            return ",".join(map(str, ids)), b"".join(map(piece, ids)), ids
+        names = [str(i) for i in range(1 + max(merges.pieces, default=0))]
 
         def learn(words: set[str]) -> None:
-            """Words to their ids: by the transducer, or else by the rules."""
-            unseen: list[tuple[str, bytes]] = []
-            for word in words:
-                raw = word.encode()
-                ids = lexicon.find(raw)
-                if ids is None:
-                    unseen.append((word, raw))
-                else:
-                    known[word] = entry(ids)
-            for (word, _), ids in zip(unseen, merges.merge_all([raw for _, raw in unseen])):
-                known[word] = entry(ids)
-
-        def parts(text: str) -> list[list[str] | str]:
-            """Words of a text, and special strings by themselves."""
-            if special is None or not any(mark in text for mark in marks):
-                return [find(text)]
-            return [find(x) if k % 2 == 0 else x for k, x in enumerate(special.split(text))]
-
-        known: dict[str, tuple] = {}
-        marks = {text: entry([i]) for text, i in merges.special.items()}
+            """Words to their ids, written out, and the bytes of these: by the transducer, or else by the rules."""
+            unseen = [(word, word.encode()) for word in words]
+            looked_up = lexicon.find_all([raw for _, raw in unseen])
+            others = [x for x, ids in zip(unseen, looked_up) if ids is None]
+            pairs = [(x[0], ids) for x, ids in zip(unseen, looked_up) if ids is not None]
+            pairs += zip([word for word, _ in others], merges.merge_all([raw for _, raw in others]))
+            for word, ids in pairs:
+                written_of[word] = ",".join([names[i] for i in ids])
+                bytes_of[word] = b"".join([piece(i) for i in ids])
+
+        def words_of(text: str) -> list[str]:
+            """The words of a text; special strings are words by themselves."""
+            if special is None or not any(mark in text for mark in merges.special):
+                return find(text)
+            parts = special.split(text)
+            return [w for k, x in enumerate(parts) for w in (find(x) if k % 2 == 0 else [x + SPECIAL])]
+
+        def forget() -> None:
+            written_of.clear()
+            bytes_of.clear()
+            written_of.update((text + SPECIAL, str(i)) for text, i in merges.special.items())
+            bytes_of.update((text + SPECIAL, text.encode()) for text in merges.special)
+
+        written_of: dict[str, str] = {}
+        bytes_of: dict[str, bytes] = {}
+        forget()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             texts = [x.as_py() or "" for x in batch.column(1)]
@@ -312,22 +355,19 @@ def bpe(
                 while stop < len(texts) and (stop == start or size + len(texts[stop]) <= AT_ONCE):
                     size += len(texts[stop])
                     stop += 1
-                split = list(map(parts, texts[start:stop]))
+                split = list(map(words_of, texts[start:stop]))
                 start = stop
-                if len(known) > CACHED:
-                    known.clear()
-                learn({w for text in split for x in text if not isinstance(x, str) for w in x} - known.keys())
-                for text in split:
-                    found: list[tuple] = []
-                    for x in text:
-                        found += [marks[x]] if isinstance(x, str) else map(known.__getitem__, x)
-                    written = ",".join([x[0] for x in found])
-                    decoded = b"".join([x[1] for x in found]).decode("utf-8", "replace")
-                    out[0].append(written.count(",") + bool(found))
+                if len(written_of) > CACHED:
+                    forget()
+                learn(set().union(*split) - written_of.keys())
+                for words in split:
+                    written = ",".join(map(written_of.__getitem__, words))
+                    decoded = b"".join(map(bytes_of.__getitem__, words)).decode("utf-8", "replace")
+                    out[0].append(written.count(",") + bool(words))
                     out[1].append(hashlib.sha256(written.encode()).hexdigest())
                     out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
-                        out[3].append(np.array([i for x in found for i in x[2]], np.int32))
+                        out[3].append(np.array(written.split(",") if words else [], np.int32))
                         out[4].append(decoded)
             columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
