@@ -77,5 +77,6 @@ def components(edges: DataFrame) -> DataFrame:
         hung = lower.select("a", F.col("least").alias("b")).unionByName(
             lower.where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         )
+        hung = hung.distinct()  # many nodes of a group hang in the same way
         above = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("up"))
         edges = written(forests(hung.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b"))))
