@@ -19,7 +19,7 @@ def strip_code_fence(spark, sf):
     plain = F.concat(F.lit("  "), "text", F.lit(" "))
     reply = F.when(F.col("role") == "user", fenced).otherwise(plain)
     return table(spark, sf, "conversations").select(
-        "conv_id", "turn", text.strip_code_fence(reply).alias("body")
+        "conv_id", "turn", text.unfenced(reply).alias("body")
     )
 
 
@@ -35,7 +35,7 @@ def json_fix(spark, sf):
         .when(kind == "click", F.concat(F.lit("Here is the plan: [ "), "props", F.lit(" ]\nDone.")))
         .otherwise(F.concat(kind, F.lit(": "), "props"))
     )
-    return table(spark, sf, "events").select("event_id", text.json_fix(reply).alias("fixed"))
+    return table(spark, sf, "events").select("event_id", text.widest_json(reply).alias("fixed"))
 
 
 @query(
@@ -63,6 +63,6 @@ def slugify(spark, sf):
     url, html = F.col("url"), F.col("html")
     return table(spark, sf, "pages").select(
         "page_id",
-        text.slugify(url, html).alias("slug"),
-        text.slugify(F.lit(None).cast("string"), html).alias("digest"),
+        text.file_slug(url, html).alias("slug"),
+        text.file_slug(F.lit(None).cast("string"), html).alias("digest"),
     )

@@ -8,18 +8,38 @@ from pyspark.sql import functions as F
 from .values import strip_space
 
 
-def strip_code_fence(c: Column) -> Column:
-    """Drop an opening and a closing Markdown code fence around the text."""
-    opened = F.regexp_replace(c, r"\A\s*```(?:\w+)?\s*\n", "")
-    return strip_space(F.regexp_replace(opened, r"\n\s*```\s*\z", ""))
+FENCE = "```"
 
 
-def json_fix(c: Column) -> Column:
-    """JSON of the whole text, else of its widest ``[ {…} ]`` block, else the text itself."""
-    block = F.regexp_extract(c, r"(?s)(\[\s*\{.*\}\s*\])", 1)
-    return F.coalesce(
-        F.to_json(F.try_parse_json(c)), F.to_json(F.try_parse_json(block)), c
-    )
+def unfenced(c: Column) -> Column:
+    """The text without a first line that opens a Markdown fence and a last line that closes it."""
+    lines = F.split(strip_space(c), "\n")
+    language = F.substring(strip_space(lines[0]), len(FENCE) + 1, 1 << 20)
+    opens = (F.size(lines) > 1) & lines[0].startswith(FENCE) & language.rlike(r"\A\w*\z")
+    body = F.when(opens, F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines)
+    closes = (F.size(body) > 1) & (strip_space(F.element_at(body, -1)) == FENCE)
+    inner = F.when(closes, F.slice(body, F.lit(1), F.greatest(F.size(body) - 1, F.lit(1)))).otherwise(body)
+    return strip_space(F.array_join(inner, "\n"))
+
+
+def _places(pieces: Column, test) -> Column:
+    """Numbers of the pieces that pass a test of the piece and its number."""
+    found = F.transform(pieces, lambda x, i: F.when(test(strip_space(x), i), i))
+    return F.filter(found, lambda i: i.isNotNull())
+
+
+def widest_json(c: Column) -> Column:
+    """JSON of the whole text, else of its widest list of objects, else the text itself.
+
+    The list goes from the first ``[`` before a ``{`` to the last ``]`` behind a ``}``.
+    """
+    opened = F.split(c, r"\[")
+    first = F.get(_places(opened, lambda x, i: (i > 0) & x.startswith("{")), F.lit(0))
+    tail = F.concat(F.lit("["), F.array_join(F.slice(opened, first + 1, F.size(opened)), "["))
+    closed = F.split(tail, r"\]")
+    last = F.array_max(_places(closed, lambda x, i: (i < F.size(closed) - 1) & x.endswith("}")))
+    block = F.concat(F.array_join(F.slice(closed, F.lit(1), last + 1), "]"), F.lit("]"))
+    return F.coalesce(F.to_json(F.try_parse_json(c)), F.to_json(F.try_parse_json(block)), c)
 
 
 def reply_name(c: Column) -> Column:
@@ -34,12 +54,12 @@ def reply_body(c: Column) -> Column:
     return strip_space(F.regexp_replace(c, r"\A[^\n]*\n", ""))
 
 
-def slugify(name: Column, content: Column) -> Column:
-    """File-name-safe form of ``name``; without a name, a short digest of ``content``."""
-    safe = F.regexp_replace(F.regexp_replace(name, r"[^a-zA-Z0-9_\-]+", "_"), r"^_+|_+$", "")
-    named = F.when(safe == "", F.lit("task")).otherwise(F.substring(safe, 1, 40))
+def file_slug(name: Column, content: Column) -> Column:
+    """The runs of letters, digits, ``_`` and ``-`` of ``name``; without a name, a short digest of ``content``."""
+    runs = F.array_join(F.regexp_extract_all(name, F.lit("[0-9A-Za-z_-]+"), F.lit(0)), "_")
+    kept = F.substring(F.btrim(runs, F.lit("_")), 1, 40)
     digest = F.substring(F.sha1(content), 1, 12)
-    return F.when(name.isNull() | (name == ""), digest).otherwise(named)
+    return F.when(F.length(name) > 0, F.when(kept == "", F.lit("task")).otherwise(kept)).otherwise(digest)
 
 
 def shorten_label(c: Column, longest: Column, limit: int = 40) -> Column:

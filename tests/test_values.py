@@ -86,12 +86,12 @@ def test_bins_without_width(spark):
 
 def test_code_fences(spark):
     rows = ["```json\n[1]\n```", "  ```\nx\n```\n", "plain", "a\n```b```"]
-    assert column(spark, rows, text.strip_code_fence) == ["[1]", "x", "plain", "a\n```b```"]
+    assert column(spark, rows, text.unfenced) == ["[1]", "x", "plain", "a\n```b```"]
 
 
 def test_json_fix(spark):
     rows = ['{"a": 1}', 'Sure: [ {"a": 1},\n {"b": 2} ] done', "no json", "[ {bad} ]", None]
-    got = column(spark, rows, text.json_fix)
+    got = column(spark, rows, text.widest_json)
     assert got == ['{"a":1}', '[{"a":1},{"b":2}]', "no json", "[ {bad} ]", None]
 
 
@@ -103,9 +103,9 @@ def test_reply_split(spark):
 
 def test_slugs(spark):
     rows = ["Sales by Region!", "!!!", "a" * 50, "ok-name_1"]
-    got = column(spark, rows, lambda c: text.slugify(c, F.lit("code")))
+    got = column(spark, rows, lambda c: text.file_slug(c, F.lit("code")))
     assert got == ["Sales_by_Region", "task", "a" * 40, "ok-name_1"]
-    assert column(spark, [None, ""], lambda c: text.slugify(c, F.lit("code"))) == ["e6fb06210faf"] * 2
+    assert column(spark, [None, ""], lambda c: text.file_slug(c, F.lit("code"))) == ["e6fb06210faf"] * 2
 
 
 def test_labels(spark):
