@@ -8,13 +8,14 @@ import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
 from ..functions.values import to_double_lenient
 from ..operators import charts
-from ..operators.columns import as_number, as_text, datetime_columns, numeric_columns, quoted
+from ..operators.columns import as_number, as_text, datetime_columns, numeric_columns, quoted, union_all
 from ..operators.correlation import heatmap_cells
 from ..operators.summary import describe_numeric
 
@@ -61,30 +62,46 @@ class Task:
 
 
 def run_tasks(df: DataFrame, tasks: str | Sequence[Mapping | Task]) -> dict[str, DataFrame]:
-    """One result per task, over the whole table. Accepts records or a JSON plan."""
+    """One result per task, over the whole table. Accepts records or a JSON plan.
+
+    A task that can't be built (unknown plot, step, function or columns, a predicate that doesn't
+    parse, no column of the needed type) is skipped with a warning; the others run. If none is
+    left, the first error is raised, unless the only trouble was that columns are unknown.
+    """
     if isinstance(tasks, str):
         plan = json.loads(tasks)
         tasks = plan["tasks"] if isinstance(plan, dict) else plan
     results = {}
+    errors: list[Exception] = []
     for spec in tasks:
-        task = spec if isinstance(spec, Task) else Task.of(spec)
+        name = spec.name if isinstance(spec, Task) else spec.get("name", "without a name")
         try:
+            task = spec if isinstance(spec, Task) else Task.of(spec)
             results[task.name] = run_task(df, task)
-        except UnknownColumnsError as error:
-            warnings.warn(f"task {task.name} is skipped: {error}", stacklevel=2)
+        except (ConfigurationError, AnalysisException, LookupError) as error:
+            warnings.warn(f"task {name} is skipped: {error}", stacklevel=2)
+            if not isinstance(error, UnknownColumnsError):
+                errors.append(error)
+    if errors and not results:
+        raise errors[0]
     return results
 
 
 def _spoken_steps(words: str, columns: tuple[str, ...]) -> tuple[Mapping, ...]:
-    """Steps named in plain words, over the task's columns; words that need values are refused."""
+    """Steps named in plain words, over the task's columns.
+
+    ``groupby`` says what grouped plots do anyway, and ``filter`` names no predicate: both change nothing.
+    """
     steps: list[Mapping] = []
     for word in filter(None, (w.strip().lower() for w in re.split(r"[,;]", words))):
         if word in ("dropna", "drop nulls", "drop missing values"):
             steps.append({"dropna": columns})
         elif word in ("coerce", "dtype conversion", "to numeric"):
             steps.append({"coerce": columns})
-        elif word != "none":
-            raise ConfigurationError(f"unknown preprocessing {word!r}; known: dropna, coerce, dtype conversion")
+        elif word == "filter":
+            warnings.warn("the word filter gives no predicate; all rows are kept", stacklevel=3)
+        elif word not in ("none", "groupby", "group by"):
+            raise ConfigurationError(f"unknown preprocessing {word!r}; known: dropna, coerce, dtype conversion, groupby, filter")
     return tuple(steps)
 
 
@@ -173,29 +190,47 @@ def _histogram(df, columns, task):
 
 
 def _line(df, columns, task):
+    """Means over time; several value columns give rows of their own, named by ``column_name``."""
     times = [c for c in columns if c in set(datetime_columns(df))] or columns[:1]
     values = [c for c in _numbers(df, columns) if c != times[0]]
-    return charts.time_series_mean(df, times[0], values[0], task.options.get("bucket"))
+    if not values:
+        raise ConfigurationError("a line needs a numeric column")
+    lines = [charts.time_series_mean(df, times[0], value, task.options.get("bucket")) for value in values]
+    if len(lines) == 1:
+        return lines[0]
+    return union_all([line.withColumn("column_name", F.lit(value)) for line, value in zip(lines, values)])
 
 
 def _bar(df, columns, task):
-    """Counts per category, or an aggregate of the second column per category."""
+    """Counts per category, or an aggregate of each numeric column per category.
+
+    Several numeric columns give rows of their own, named by ``column_name``.
+    """
+    if task.aggregate not in _AGGREGATES:
+        raise ConfigurationError(f"unknown aggregate function {task.aggregate}")
     category = as_text(df, columns[0]).alias("category")
-    numbers = [c for c in _numbers(df, columns[1:])]
+    numbers = _numbers(df, columns[1:])
     if not numbers:
         return df.groupBy(category).agg(F.count("*").alias("value"))
-    measure = _AGGREGATES[task.aggregate](as_number(df, numbers[0]))
-    return df.where(as_number(df, numbers[0]).isNotNull()).groupBy(category).agg(measure.alias("value"))
+    cells = [x for n in numbers for x in (F.lit(n), as_number(df, n))]
+    bars = df.select(category, F.stack(F.lit(len(numbers)), *cells).alias("column_name", "value")).where("value is not null")
+    keys = ["category"] if len(numbers) == 1 else ["category", "column_name"]
+    return bars.groupBy(*keys).agg(_AGGREGATES[task.aggregate](F.col("value")).alias("value"))
 
 
 def _scatter(df, columns, task):
-    x, y = _numbers(df, columns)[:2]
+    numbers = _numbers(df, columns)
+    if len(numbers) < 2:
+        raise ConfigurationError("a scatter plot needs two numeric columns")
+    x, y = numbers[:2]
     return charts.scatter_points(df, x, y, task.options.get("max_points", 1000), task.options.get("key"))
 
 
 def _box(df, columns, task):
     numbers = _numbers(df, columns)
-    category = next(c for c in columns if c not in numbers)
+    category = next((c for c in columns if c not in numbers), None)
+    if category is None or not numbers:
+        raise ConfigurationError("a box needs a category and a numeric column")
     return charts.box_stats(df, category, numbers[0], task.options.get("max_categories", 10))
 
 

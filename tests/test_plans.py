@@ -112,3 +112,29 @@ def test_spoken_preprocessing_and_unknown_columns(spark):
     assert list(got) == ["bar"] and [r.category for r in got["bar"].collect()] == ["a"]
     with pytest.raises(ConfigurationError):
         run_tasks(df, [{"name": "x", "plot_type": "bar", "columns": ["k"], "preprocessing": "make it nice"}])
+
+
+def test_one_bad_task_does_not_stop_the_others(sales):
+    from tablens.plans.tasks import run_tasks
+
+    tasks = [
+        {"name": "odd", "plot_type": "pie", "columns": ["product"]},
+        {"name": "grouped", "plot_type": "bar", "columns": ["product", "sales"], "preprocessing": "filter, groupby, dropna"},
+        {"name": "broken", "plot_type": "table", "columns": ["sales"], "preprocessing": [{"filter": "no_such_column > 1"}]},
+        {"name": "flat", "plot_type": "scatter", "columns": ["product", "sales"]},
+    ]
+    with pytest.warns(UserWarning) as told:
+        got = run_tasks(sales, tasks)
+    assert list(got) == ["grouped"] and got["grouped"].count() == 3
+    assert {w for w in ("odd", "broken", "flat") if any(f"task {w} " in str(x.message) for x in told)} == {"odd", "broken", "flat"}
+
+
+def test_several_value_columns(spark):
+    from tablens.plans.tasks import run_tasks
+
+    df = spark.createDataFrame([("a", 1.0, 10), ("a", 3.0, None), ("b", None, 30)], "k string, v double, w int")
+    got = run_tasks(df, [{"name": "x", "plot_type": "bar", "columns": ["k", "v", "w"], "aggregate": "sum"}])["x"]
+    assert sorted(tuple(r) for r in got.select("category", "column_name", "value").collect()) == [("a", "v", 4.0), ("a", "w", 10.0), ("b", "w", 30.0)]
+    days = spark.sql("select timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id as int)) as day, double(id) as v, 2 * id as w from range(20)")
+    lines = run_tasks(days, [{"name": "x", "plot_type": "line", "columns": ["day", "v", "w"]}])["x"]
+    assert {r["column_name"] for r in lines.collect()} == {"v", "w"}
