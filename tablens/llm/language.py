@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,8 @@ GRAMS = (1, 2, 3, 4)  # the blended spectrum
 SPACE = 1 << 15  # hashed n-grams; a text is a set of them
 FIT_ROWS = 1600  # labelled rows to learn from, at most, evenly by language
 LANDMARKS = 160
-LANGUAGES = 256  # learned languages, at most
+LANGUAGES = 256  # learned languages, at most; the most frequent ones
+SCORED = 1 << 14  # characters that are scored at once; a text's score is the mean over all its pieces
 RIDGE = 1e-3
 PIECE = 1 << 18  # characters handled at once; texts are read whole
 BATCH = 64
@@ -81,13 +83,11 @@ def fit(bits: np.ndarray, labels: list[str]) -> Model:
 
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
     """Fit on at most about ``FIT_ROWS`` labelled rows, spread evenly over the languages by a hash."""
-    counts = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    counts = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
     if not counts:
         return Model([], np.zeros((0, SPACE // 8), np.uint8), np.zeros((1, 0)))
     quota = FIT_ROWS // len(counts)
-    share = F.lit(0.0)
+    share = F.lit(0.0)  # of languages that aren't among the most frequent ones
     for row in counts:
         share = F.when(F.col(lang_col) == row[0], min(1.0, quota / row[1])).otherwise(share)
     ticket = F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col), F.lit(17))
@@ -119,29 +119,39 @@ def with_language(
 ) -> DataFrame:
     """``docs`` with the columns ``lang_pred`` and ``score``; see ``language_id``."""
     labelled = docs.where(training & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    shared = docs.sparkSession.sparkContext.broadcast(learn(labelled, id_col, text_col, lang_col))
+    learned = learn(labelled, id_col, text_col, lang_col)
+    # plain values, which workers can unpack without this package
+    shared = docs.sparkSession.sparkContext.broadcast((learned.languages, learned.landmarks, learned.weights))
     place = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         marks, norms = model.unpacked()
         weights = model.weights.astype(np.float32)
         room = np.zeros((BATCH, SPACE), np.float32)
         for batch in batches:
+            texts = [x.as_py() or "" for x in batch.column(place)]
+            letters, sizes = [False] * len(texts), {}
+            sums = np.zeros((len(texts), max(1, len(model.languages))))
+            pieces = ((k, text[at : at + SCORED]) for k, text in enumerate(texts) for at in range(0, len(text), SCORED))
+            while held := list(islice(pieces, BATCH)):
+                room[:] = 0
+                found = [spectrum(piece, room[row]) for row, (_, piece) in enumerate(held)]
+                if not model.languages:
+                    continue
+                values = kernel(room[: len(held)], marks, norms) @ weights[:-1] + weights[-1]
+                for (k, piece), known, row in zip(held, found, values):
+                    letters[k] |= known
+                    if known:  # pieces without a letter say nothing
+                        sums[k] += np.float64(len(piece)) * row
+                        sizes[k] = sizes.get(k, 0) + len(piece)
             names: list[str] = []
             scores: list[float] = []
-            for start in range(0, batch.num_rows, BATCH):
-                texts = batch.column(place).slice(start, BATCH)
-                room[:] = 0
-                letters = [spectrum(x.as_py() or "", room[k]) for k, x in enumerate(texts)]
-                if model.languages:
-                    values = kernel(room[: len(letters)], marks, norms) @ weights[:-1] + weights[-1]
-                else:
-                    letters, values = [False] * len(letters), np.zeros((len(letters), 1))
-                for known, row in zip(letters, values):
-                    best = int(row.argmax())
-                    names.append(model.languages[best] if known else "und")
-                    scores.append(float(min(1.0, max(0.0, row[best]))) if known else 0.0)
+            for k, known in enumerate(letters):
+                row = sums[k] / max(1, sizes.get(k, 1))
+                best = int(row.argmax())
+                names.append(model.languages[best] if known else "und")
+                scores.append(float(min(1.0, max(0.0, row[best]))) if known else 0.0)
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
@@ -157,8 +167,10 @@ def language_id(
     Learns from the rows where ``training`` holds and text and language are given. Predictions read
     nothing but the whole text. Null texts and texts without a letter are ``und`` with score 0, as
     is all text if nothing can be learned; null ids pass through; an empty table gives no rows.
-    ``score`` is the regression value of the language, kept within 0 and 1. Equal values go to the
-    language that comes first by name.
+    ``score`` is the regression value of the language, kept within 0 and 1; texts of more than ``SCORED``
+    characters have the mean over pieces that together are the whole text, weighed by their length, so
+    that length alone changes no score. Equal values go to the language that comes first by name. At
+    most the ``LANGUAGES`` most frequent languages are learned.
 
     A text is the set of its n-grams, hashed to ``SPACE`` places; landmarks and weights are
     broadcast and have a fixed size. Batches of texts are scored by two matrix products.

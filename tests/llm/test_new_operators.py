@@ -227,3 +227,19 @@ def test_held_out_toxicity_of_the_tables(spark):
     rows = found.groupBy("toxic").agg(F.count("*").alias("n"), F.avg("predicted").alias("rate")).collect()
     rate = {row.toxic: row.rate for row in rows}
     assert rate[0] < 0.05 and rate[1] > 0.5
+
+
+def test_language_scores_do_not_fall_with_length_and_labels_may_be_many(spark):
+    from tablens.llm.language import language_id
+
+    r = random.Random(4)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
+    text = lambda lang, n: " ".join("".join(r.choice(letters[lang]) for _ in range(r.randint(2, 7))) for _ in range(n))
+    rows = [(k, text(lang, 40), lang) for k, lang in enumerate(list(letters) * 40)]
+    long = [(1000, text("aa", 300_000), None), (1001, text("aa", 3600), None), (1002, "7" * 40_000 + text("bb", 100), None)]
+    df = spark.createDataFrame(rows + long, "doc_id long, text string, lang string")
+    found = {row.doc_id: row for row in language_id(df, F.lit(True)).collect()}
+    assert [found[k].lang_pred for k in (1000, 1001, 1002)] == ["aa", "aa", "bb"]
+    assert abs(found[1000].score - found[1001].score) < 0.05 and found[1000].score > 0.5
+    many = spark.createDataFrame([(k, f"text {k}", f"l{k}") for k in range(300)], "doc_id long, text string, lang string")
+    assert language_id(many, F.lit(True)).count() == 300
