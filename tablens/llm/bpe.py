@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from .words import frequent_words
 
 FREQUENT = 32768  # words in the transducer
-CACHED = 600_000  # words that a worker remembers
+CACHED = 300_000  # words that a worker remembers
 SPECIAL = "\0"  # added to special strings among words
-AT_ONCE = 4 << 20  # characters of texts that are split before their words are looked up
+AT_ONCE = 2 << 20  # characters of texts that are split before their words are looked up
 
 # fixed value: how byte-level vocabularies split a text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
