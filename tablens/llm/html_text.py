@@ -4,26 +4,32 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+TAG = re.compile(r"</?[a-zA-Z]")
+STOP = re.compile(r">|=\s*([\"'])")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 # fixed values: elements of HTML
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title select textarea button datalist".split())
+HIDDEN = frozenset(
+    "script style noscript template iframe object canvas head title desc annotation select textarea button datalist".split()
+)  # never shown, shown in place of something else, or controls
 RAW = frozenset("script style textarea title".split())
 IN_HEAD = frozenset("head base basefont bgsound link meta noscript template".split()) | RAW
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr br".split()
+    "strike strong sub sup time tt u var wbr br "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mpadded msub msup msubsup munder mover munderover mtable mtr mtd semantics "
+    "svg g text tspan path rect circle ellipse line polyline polygon defs use".split()
 )
+SPACED = frozenset("br text mtd".split())  # INLINE, but white space to a reader
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
@@ -39,7 +45,8 @@ VAGUE_WORDS = frozenset(
 )  # of CHROME_WORDS, those that content bears too
 MAIN_WORDS = frozenset("article content entry main post story".split())
 WHOLE = frozenset("html body main article".split())  # their classes speak of the page, not of its text
-LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LINES = HEADINGS | {"p"}
 
 HARD = 1_000_000  # capacity of what the elements say
 MARK, VAGUE = 700, 350  # capacity of what a class, id or role says, if next to no text lies below it
@@ -48,12 +55,14 @@ MARK, VAGUE = 700, 350  # capacity of what a class, id or role says, if next to
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # numbers of the open elements
+    depth: int  # open elements
+    shared: int  # of them, those open since the block before
+    parent: int  # number of the element around the innermost one
     links: int  # characters inside links
     chrome: bool
     main: bool
     heading: bool
-    marks: tuple[tuple[int, int], ...] = ()  # numbers and capacities of the marked elements around
+    mark: int = -1  # place of the innermost marked element around
 
 
 def marks_of(tag: str, start: str) -> tuple[int, bool]:
@@ -76,89 +85,176 @@ def marks_of(tag: str, start: str) -> tuple[int, bool]:
     return weight, main
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order, with what the elements around them say."""
+def pieces_of(page: str) -> Iterator[tuple[str, int]]:
+    """Tags and stretches of text with the places where they end; comments are left out.
+
+    A tag ends at the first ``>`` outside of quoted values. The first tag that has none shows that a
+    quote stays open; from there on quotes are not minded, so that a page is read in linear time.
+    A place may be sent back to go on from there.
+    """
+    at, size, last, quotes = 0, len(page), page.rfind(">"), True
+    while at < size:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            at = size if end < 0 else end + 3
+            continue
+        elif at < last and page[at + 1] in "!?":
+            at = page.find(">", at) + 1
+            continue
+        elif at < last and TAG.match(page, at):
+            end = at + 2
+            while quotes:
+                stop = STOP.search(page, end)
+                if stop is None:
+                    quotes = False
+                elif stop.group() == ">":
+                    end = stop.end()
+                    break
+                else:
+                    end = page.find(stop.group(1), stop.end()) + 1
+                    quotes = end > 0
+            if not quotes:
+                end = page.find(">", at) + 1
+        else:  # a sign, no tag
+            end = page.find("<", at + 1)
+            end = size if end < 0 else end
+        moved = yield page[at:end], end
+        at = end if moved is None else moved
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """Blocks of text in page order with what the elements around them say, and the marked elements.
+
+    A marked element is its capacity and the place of the next marked one around it. An element that
+    hides its content ends with its own end tag or that of an element around it.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, tuple]] = []  # name, number, chrome, main, marks
-    number, links, open_links = 0, 0, 0
+    marked: list[tuple[int, int]] = []
+    stack: list[tuple[str, int, bool, bool, int]] = []  # name, number, chrome, main, mark
+    names: Counter[str] = Counter()  # of the stack
+    number, links, open_links, shared = 0, 0, 0, 0
     parts: list[str] = []
-    tag = ""
     hidden: str | None = None
+    inside: Counter[str] = Counter()  # elements open in the hidden one
     in_head = False
 
     def close() -> None:
-        nonlocal links
+        nonlocal links, shared
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                top = stack[-1] if stack else ("", 0, False, False, ())
-                found.append(
-                    Block(text, tuple(x[1] for x in stack[-6:]), links, top[2], top[3], any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-2:]), top[4])
-                )
+                top = stack[-1] if stack else ("", 0, False, False, -1)
+                parent = stack[-2][1] if len(stack) > 1 else 0
+                heading = any(x[0] in HEADINGS for x in stack[-2:])
+                found.append(Block(text, len(stack), shared, parent, links, top[2], top[3], heading, top[4]))
+                shared = len(stack)
             parts.clear()
         links = 0
 
-    at = 0
-    while at < len(page):
-        token = TOKEN.match(page, at)
-        piece, at = token.group(), token.end()
-        if piece[0] != "<" or piece == "<":
+    def leave(k: int) -> None:
+        nonlocal shared
+        for x in stack[k:]:
+            names[x[0]] -= 1
+        del stack[k:]
+        shared = min(shared, k)
+
+    pieces = pieces_of(page)
+    moved: int | None = None
+    while True:
+        try:
+            piece, at = pieces.send(moved)
+        except StopIteration:
+            break
+        moved = None
+        name = NAME.match(piece) if piece[-1] == ">" else None
+        if name is None:
             if hidden == "head" and piece.strip():  # its end tag may be left out
                 hidden = None
             if hidden is None:
                 parts.append(piece)
                 links += len(piece) if open_links else 0
             continue
-        name = NAME.match(piece)
-        if name is None:
-            continue
-        tag, closing = name.group(1).lower(), piece[1] == "/"
-        if tag in RAW and not closing and not piece.endswith("/>"):  # no tags up to its end tag
+        tag, closing, empty = name.group(1).lower(), piece[1] == "/", piece.endswith("/>")
+        if tag in RAW and not closing and not empty:  # no tags up to its end tag
             end = END[tag].search(page, at)
-            at = end.start() if end else len(page)
+            moved = end.start() if end else len(page)
         if hidden == "head" and not closing:
             if tag not in IN_HEAD:
                 hidden = None
-            elif tag in ("noscript", "template") and not piece.endswith("/>"):
+            elif tag in ("noscript", "template") and not empty:
                 hidden, in_head = tag, True
+                inside.clear()
+                continue
         if hidden is not None:
-            if closing and tag == hidden:
-                hidden = "head" if in_head else None
-                in_head = False
-            continue
+            if not closing:
+                inside[tag] += not empty and tag not in VOID
+                continue
+            if inside[tag] > 0:
+                inside[tag] -= 1
+                continue
+            if tag != hidden and not names[tag]:
+                continue
+            own = tag == hidden
+            hidden = "head" if in_head and own else None
+            in_head = False
+            if own:
+                continue
         if tag in HIDDEN:
-            if not closing and not piece.endswith("/>"):
+            if not closing and not empty:
                 hidden = tag
+                inside.clear()
             continue
         if tag in INLINE:
             if tag == "a":
                 open_links = max(0, open_links + (-1 if closing else 1))
-            elif tag == "br":
+            elif tag in SPACED:
                 parts.append(" ")
             continue
+        if closing and not names[tag] and tag != "p":  # closes nothing
+            continue
         close()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if names[tag]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             if tag in CHROME:
                 open_links = 0
             continue
         if tag in VOID:
             continue
-        if tag in ("p", "li", "tr", "td", "dt", "dd") and stack and stack[-1][0] == tag:
-            stack.pop()
-        elif stack and stack[-1][0] == "p":
-            stack.pop()
+        if stack and (stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ("li", "tr", "td", "dt", "dd"))):
+            leave(len(stack) - 1)
         weight, main = marks_of(tag, piece)
-        above = stack[-1] if stack else ("", 0, False, False, ())
+        above = stack[-1] if stack else ("", 0, False, False, -1)
         chrome = above[2] or (tag in CHROME and not (tag == "header" and above[3]))
         number += 1
-        marks = (*above[4], (number, weight)) if weight else above[4]
-        stack.append((tag, number, chrome, above[3] or tag in MAIN or main, marks))
+        mark = above[4]
+        if weight:
+            marked.append((weight, mark))
+            mark = len(marked) - 1
+        stack.append((tag, number, chrome, above[3] or tag in MAIN or main, mark))
+        names[tag] += 1
     close()
-    return found
+    return found, marked
+
+
+def marked_costs(blocks: list[Block], marked: list[tuple[int, int]]) -> list[int]:
+    """For each block the greatest capacity of the marked elements around it, less the more text lies below them."""
+    below = [0] * len(marked)  # characters
+    for block in blocks:
+        if block.mark >= 0:
+            below[block.mark] += len(block.text)
+    for k in range(len(marked) - 1, -1, -1):
+        if marked[k][1] >= 0:
+            below[marked[k][1]] += below[k]
+    total = max(1, sum(len(b.text) for b in blocks if not b.chrome))
+    cost: list[int] = []
+    for k, (weight, around) in enumerate(marked):
+        own = weight * max(0, total - below[k]) ** 2 // total**2
+        cost.append(max(own, cost[around]) if around >= 0 else own)
+    return [cost[b.mark] if b.mark >= 0 else 0 for b in blocks]
 
 
 def costs(block: Block, any_main: bool, marked: int = 0) -> tuple[int, int]:
@@ -178,13 +274,8 @@ def costs(block: Block, any_main: bool, marked: int = 0) -> tuple[int, int]:
 
 
 def nearness(a: Block, b: Block) -> int:
-    """Smoothness between neighbours: more for blocks deep in the same elements."""
-    shared = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        shared += 1
-    return 10 + 10 * shared
+    """Smoothness between neighbours: less with the steps from one to the other in the tree of elements."""
+    return 10 + 60 // max(1, a.depth + b.depth - 2 * b.shared)
 
 
 def content_side(capacities: list[tuple[int, int]], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -250,24 +341,18 @@ def content_side(capacities: list[tuple[int, int]], edges: list[tuple[int, int,
 
 def main_text(page: str | None) -> str:
     """Blocks labelled content, joined by empty lines."""
-    blocks = blocks_of(page or "")
+    blocks, marked = blocks_of(page or "")
     if not blocks:
         return ""
     any_main = any(b.main and not b.chrome for b in blocks)
     edges = [(k, k + 1, nearness(a, b)) for k, (a, b) in enumerate(zip(blocks, blocks[1:]))]
     last: dict[int, int] = {}
     for k, block in enumerate(blocks):  # blocks of one parent that others part
-        parent = block.path[-2] if len(block.path) > 1 else 0
-        if parent in last and last[parent] < k - 1:
-            edges.append((last[parent], k, 10))
-        last[parent] = k
-    below: dict[int, int] = {}  # characters below each marked element
-    for block in blocks:
-        for number, _ in block.marks:
-            below[number] = below.get(number, 0) + len(block.text)
-    total = max(1, sum(len(b.text) for b in blocks if not b.chrome))
-    marked = [max((w * max(0, total - below[k]) ** 2 // total**2 for k, w in b.marks), default=0) for b in blocks]
-    chosen = content_side([costs(b, any_main, m) for b, m in zip(blocks, marked)], edges)
+        if block.parent in last and last[block.parent] < k - 1:
+            edges.append((last[block.parent], k, 10))
+        last[block.parent] = k
+    sides = [costs(b, any_main, m) for b, m in zip(blocks, marked_costs(blocks, marked))]
+    chosen = content_side(sides, edges)
     return "\n\n".join(b.text for b, keep in zip(blocks, chosen) if keep)
 
 
@@ -277,7 +362,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     The page is read whole. Blocks are labelled content or boilerplate by a minimum cut: a
     classifier of marks, length and links gives the terminal capacities (a class, id or role weighs
     less the more of the text lies below it); blocks next to each other and blocks of one parent
-    are tied. Null and empty pages have an empty text; null ids and
+    are tied, the more the nearer they lie in the tree. Formulas and texts of drawings are text; what only
+    stands in for an object, a canvas or a script is not. Null and empty pages have an empty text; null ids and
     addresses pass through; repeated rows repeat; an empty table gives no rows; other columns are
     not read.
     """

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from tablens.llm.bpe import Merges, Transducer, bpe
 from tablens.llm.components import components
 from tablens.llm.decontamination import compile_items, decontaminate, matches, myers, pieces, plain
 from tablens.llm.exact_dedup import exact_dedup
-from tablens.llm.html_text import content_side, extract, main_text
+from tablens.llm.html_text import blocks_of, content_side, extract, main_text, nearness
 from tablens.llm.language import language_id
 from tablens.llm.licenses import align, scan, scan_licenses
 from tablens.llm.line_dedup import LONG_WORDS, chunks, line_dedup, passage_dedup
@@ -389,6 +390,38 @@ def test_one_word_does_not_decide_a_page():
             assert main_text(page + extra) == whole, page
 
 
+def test_page_text_is_whole():
+    page = "<article><p>Text with words, long enough. {} And more</p><p>More text to read, with words.</p></article>"
+    for piece, said in (
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2 And more"), ("<svg><path d=x>", "And more"),
+        ("<svg><text>AB</text></svg>", "AB And more"), ("<object><object>f</object>g</object>", "And more"),
+        ("<canvas>no</canvas>", "And more"), ("</b></div>", "And more"), ("a < b", "a < b And more"), ("<!-->q", "q And more"),
+        ("<b title='a>b'>z</b>", "z And more"), ("<b title=it's>z</b>", "z And more"),
+    ):
+        text = f"Text with words, long enough. {said}\n\nMore text to read, with words."
+        assert main_text(page.format(piece)) == text, piece
+    assert main_text(page.format("<button>click")) == "Text with words, long enough.\n\nMore text to read, with words."
+    for opened in ("<svg>", "<button>", "<noscript><p>"):  # left open outside of the article
+        assert main_text(f"<div>{opened}x</div>" + page.format("")).endswith("long enough. And more\n\nMore text to read, with words.")
+
+
+def test_nearness_counts_steps():
+    inner, outer = "<div>" * 30, "</div>" * 30
+    blocks, _ = blocks_of(f"{inner}<p>a<p>b{outer}<p>c")
+    a, b, c = blocks
+    assert [x.shared for x in blocks] == [0, 30, 0] and nearness(a, b) == 40 and nearness(b, c) == 11
+    shallow, _ = blocks_of("<div><p>a<p>b</div>")
+    assert nearness(*shallow) == 40
+
+
+def test_long_malformed_pages():
+    start = time.monotonic()
+    for page in ("<p " * 350_000, '<p a="' * 150_000 + ">", "<a x=\"' > '\" " * 50_000, "<div>" * 100_000 + "x" + "</b>" * 100_000):
+        main_text(page)
+    main_text("<div class=ad><div class=ad>x" * 20_000)
+    assert time.monotonic() - start < 20
+
+
 def test_minimum_cut():
     r = random.Random(5)
     for _ in range(60):
