@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TAG = re.compile(r"</?[a-zA-Z]")
 STOP = re.compile(r">|=\s*([\"'])")
@@ -50,6 +52,14 @@ LINES = HEADINGS | {"p"}
 
 HARD = 1_000_000  # capacity of what the elements say
 MARK, VAGUE = 700, 350  # capacity of what a class, id or role says, if next to no text lies below it
+MAIN_COST = 400  # capacity of being in an article, or not in the article of a page that has one
+MOST = 250  # of the classifier on one side
+SCALE = 40  # capacity of a log odds of one
+PRIOR = 20  # labelled blocks that weights before fitting count for
+FIT_PAGES = 1000
+ENDS = frozenset(".!?…:;。！？\"'”»)")  # last signs of sentences
+
+Weights = dict[tuple[str, int], int]
 
 
 @dataclass
@@ -257,20 +267,94 @@ def marked_costs(blocks: list[Block], marked: list[tuple[int, int]]) -> list[int
     return [cost[b.mark] if b.mark >= 0 else 0 for b in blocks]
 
 
-def costs(block: Block, any_main: bool, marked: int = 0) -> tuple[int, int]:
-    """Capacity from the content side and to the boilerplate side: what a wrong label would cost."""
+def features(block: Block) -> list[tuple[str, int]]:
+    """What the classifier sees of a block: size, share of links, last sign, heading, words of a usual length."""
+    text = block.text
+    size = len(text)
+    return [
+        ("size", min(size, 1023).bit_length()),
+        ("links", int(4 * min(1.0, block.links / max(1, size)))),
+        ("sentence", int(text[-1] in ENDS)),
+        ("heading", int(block.heading)),
+        ("words", min(4, size // (text.count(" ") + 1) // 4)),
+    ]
+
+
+def before(feature: str, value: int) -> int:
+    """Weight of a value that no labelled block has shown."""
+    return {"size": 12 * (value - 4), "links": -60 * value, "sentence": 15 if value else -5, "heading": 60 * value}.get(feature, 0)
+
+
+def fitted(counts: dict[tuple[str, int], tuple[int, int]]) -> Weights:
+    """Weights from ``(content, boilerplate)`` counts of blocks per value: scaled log odds, ``before`` as ``PRIOR`` more blocks."""
+    totals: dict[str, tuple[int, int]] = {}
+    for (feature, _), (content, boilerplate) in counts.items():
+        so_far = totals.get(feature, (0, 0))
+        totals[feature] = (so_far[0] + content, so_far[1] + boilerplate)
+    weights = {}
+    for (feature, value), (content, boilerplate) in counts.items():
+        known = 1 / (1 + math.exp(-before(feature, value) / SCALE))
+        share = (content + PRIOR * known) / (totals[feature][0] + PRIOR)
+        other = (boilerplate + PRIOR * (1 - known)) / (totals[feature][1] + PRIOR)
+        weights[feature, value] = round(SCALE * math.log(share / other))
+    return weights
+
+
+def label_of(block: Block) -> int | None:
+    """1 inside an article without marks, 0 inside menus, footers and the like, none elsewhere."""
+    if block.chrome:
+        return 0
+    return 1 if block.main and block.mark < 0 else None
+
+
+def fit(pages: DataFrame, id_col: str, url_col: str, html_col: str, fit_pages: int = FIT_PAGES) -> Weights:
+    """Weights learned from the blocks of about ``fit_pages`` pages, chosen by a hash of id and address.
+
+    Pages label their own blocks by structure. Tasks count blocks per value; the sums, at most some
+    forty rows, make the weights.
+    """
+    share = fit_pages / max(1, pages.count())
+    if share < 1:
+        draw = F.pmod(F.xxhash64(F.lit(7), id_col, url_col), F.lit(1 << 30))
+        pages = pages.where(draw < int(share * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, int, int]] = Counter()
+        for batch in batches:
+            for page in batch.column(0):
+                for block in blocks_of(page.as_py() or "")[0]:
+                    label = label_of(block)
+                    if label is not None:
+                        counts.update((*x, label) for x in features(block))
+        yield pa.RecordBatch.from_pylist(
+            [{"feature": x, "value": v, "label": y, "n": n} for (x, v, y), n in counts.items()],
+            pa.schema([("feature", pa.string()), ("value", pa.int32()), ("label", pa.int32()), ("n", pa.int64())]),
+        )
+
+    cells = pages.select(html_col).mapInArrow(run, "feature string, value int, label int, n long")
+    sums = cells.groupBy("feature", "value").agg(
+        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("content"),
+        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("boilerplate"),
+    )
+    return fitted({(r.feature, r.value): (r.content, r.boilerplate) for r in sums.collect()})
+
+
+def costs(block: Block, any_main: bool, marked: int = 0, weights: Weights | None = None) -> tuple[int, int]:
+    """Capacity from the content side and to the boilerplate side: what a wrong label would cost.
+
+    The classifier's weights add up to ``MOST`` at most on either side, so that alone they do not
+    outvote an article or a mark.
+    """
     if block.chrome:
         return 0, HARD
-    size = len(block.text)
-    share = min(1.0, block.links / max(1, size))
-    content = 20 + min(size, 400) // 4 + 60 * block.heading
-    boilerplate = 30 + int(250 * share) + (40 if size < 25 else 0)
+    weight = sum((weights or {}).get(x, before(*x)) for x in features(block))
+    content = min(MOST, max(0, weight))
+    boilerplate = min(MOST, max(0, -weight))
     if block.main:
-        content += 400
+        content += MAIN_COST
     elif any_main:
-        boilerplate += 400
-    boilerplate += marked
-    return content, boilerplate
+        boilerplate += MAIN_COST
+    return content, boilerplate + marked
 
 
 def nearness(a: Block, b: Block) -> int:
@@ -339,8 +423,8 @@ def content_side(capacities: list[tuple[int, int]], edges: list[tuple[int, int,
                 at = to[path.pop() ^ 1]
 
 
-def main_text(page: str | None) -> str:
-    """Blocks labelled content, joined by empty lines."""
+def main_text(page: str | None, weights: Weights | None = None) -> str:
+    """Blocks labelled content, joined by empty lines; without fitted weights those before fitting serve."""
     blocks, marked = blocks_of(page or "")
     if not blocks:
         return ""
@@ -351,16 +435,17 @@ def main_text(page: str | None) -> str:
         if block.parent in last and last[block.parent] < k - 1:
             edges.append((last[block.parent], k, 10))
         last[block.parent] = k
-    sides = [costs(b, any_main, m) for b, m in zip(blocks, marked_costs(blocks, marked))]
+    sides = [costs(b, any_main, m, weights) for b, m in zip(blocks, marked_costs(blocks, marked))]
     chosen = content_side(sides, edges)
     return "\n\n".join(b.text for b, keep in zip(blocks, chosen) if keep)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", fit_pages: int = FIT_PAGES) -> DataFrame:
     """``(page_id, url, text, n_chars)``, one row per page.
 
     The page is read whole. Blocks are labelled content or boilerplate by a minimum cut: a
-    classifier of marks, length and links gives the terminal capacities (a class, id or role weighs
+    classifier of length, links, last sign, heading and words, fitted on about ``fit_pages`` pages,
+    gives the terminal capacities with the marks (a class, id or role weighs
     less the more of the text lies below it); blocks next to each other and blocks of one parent
     are tied, the more the nearer they lie in the tree. Formulas and texts of drawings are text; what only
     stands in for an object, a canvas or a script is not. Null and empty pages have an empty text; null ids and
@@ -368,9 +453,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     not read.
     """
 
+    weights = fit(pages, id_col, url_col, html_col, fit_pages)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
+            texts = [main_text(x.as_py(), weights) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

@@ -3,8 +3,10 @@
 import hashlib
 import json
 import random
+import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from tablens.llm.bpe import Merges, Transducer, bpe
 from tablens.llm.components import components
 from tablens.llm.decontamination import compile_items, decontaminate, matches, myers, pieces, plain
 from tablens.llm.exact_dedup import exact_dedup
-from tablens.llm.html_text import blocks_of, content_side, extract, main_text, nearness
+from tablens.llm.html_text import blocks_of, content_side, extract, features, fit, fitted, main_text, nearness
 from tablens.llm.language import language_id
 from tablens.llm.licenses import align, scan, scan_licenses
 from tablens.llm.line_dedup import LONG_WORDS, chunks, line_dedup, passage_dedup
@@ -422,6 +424,28 @@ def test_long_malformed_pages():
     assert time.monotonic() - start < 20
 
 
+def test_fitted_costs(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = fit(pages, "page_id", "url", "html")
+    assert weights["links", 4] < weights["links", 0] and weights["size", 10] > weights["size", 4] and 10 < len(weights) < 50
+    cells = Counter()
+    for r in pages.collect():
+        for block in blocks_of(r.html)[0]:
+            if block.chrome or block.main:
+                cells.update((*x, block.main) for x in features(block))
+    assert fitted({x[:2]: (cells[*x[:2], True], cells[*x[:2], False]) for x in cells}) == weights
+    assert fit(pages.limit(0), "page_id", "url", "html") == {}
+    some = fit(pages, "page_id", "url", "html", 20)
+    assert some != weights and some["links", 4] < 0
+    right = wrong = lost = 0
+    for r in pages.collect():  # articles without their elements: only the classifier and the cut are left
+        truth = {b.text for b in blocks_of(r.html)[0] if b.main}
+        bare = re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", r.html).replace(' class="ad"', "")
+        got = set(main_text(bare, weights).split("\n\n"))
+        right, wrong, lost = right + len(got & truth), wrong + len(got - truth), lost + len(truth - got)
+    assert right / (right + wrong) > 0.8 and right / (right + lost) > 0.9, (right, wrong, lost)
+
+
 def test_minimum_cut():
     r = random.Random(5)
     for _ in range(60):
