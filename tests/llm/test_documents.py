@@ -18,7 +18,7 @@ from tablens.llm.decontamination import compile_items, decontaminate, matches, m
 from tablens.llm.exact_dedup import exact_dedup
 from tablens.llm.html_text import blocks_of, content_side, extract, features, fit, fitted, main_text, nearness
 from tablens.llm.language import language_id
-from tablens.llm.licenses import align, scan, scan_licenses
+from tablens.llm.licenses import BSD_START, BSD_THREE, BSD_TWO, GNU, GNU_NOTICE, NOTICES, align, scan, scan_licenses
 from tablens.llm.line_dedup import LONG_WORDS, chunks, line_dedup, passage_dedup
 from tablens.llm.sharding import shard
 from tablens.llm.token_counts import count_tokens
@@ -462,12 +462,44 @@ def test_minimum_cut():
 def test_licenses(spark, odd, empty):
     assert scan("x y. Released under the MIT License. z")[0][:2] == ("MIT", 1.0)
     assert scan("under no license at all, released by MIT") == []
-    long = next(t for t in __import__("tablens.llm.licenses", fromlist=["TEMPLATES"]).TEMPLATES["ISC"])
+    long = next(t for name, t, _ in NOTICES if name == "ISC")
     assert scan(words(50, 1) + long.replace("purpose", "aim") + words(9, 2))[0][0] == "ISC"
     assert align("a b c d e".split(), "a x c d".split()) == [(0, 0), (2, 2), (3, 3)]
     assert scan_licenses(odd).count() == 0 and scan_licenses(empty).count() == 0
 
 
+def test_licenses_are_told_apart():
+    for text, names in (
+        ("It is licensed under the terms of the MIT License.", ["MIT"]), ("Licensed under Apache License 2.0", ["Apache-2.0"]),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]), ("x SPDX-License-Identifier: MIT", ["MIT"]),
+        ("It is not licensed under the MIT License.", []), ("The code was never released under the MIT License", []),
+        ("Licensed under the Apache License, Version 1.1", []), ("licensed under the GNU Lesser General Public License v3.0", ["LGPL-3.0"]),
+        (BSD_TWO, ["BSD-2-Clause"]), (BSD_THREE, ["BSD-3-Clause"]), (BSD_START, ["BSD"]), (BSD_THREE.replace("copyright", "x"), ["BSD-3-Clause"]),
+        ("the license of MIT students and the apache of version 2", []),
+        ("Licensed under CC BY-SA 4.0 and then a lot of other text, which was licensed under CC BY 4.0", ["CC-BY-4.0", "CC-BY-SA-4.0"]),
+    ):
+        assert [x[0] for x in scan(text)] == names, text
+    for name, said, version, date in GNU:
+        notice = GNU_NOTICE.format(said, version)
+        assert [x[0] for x in scan(f"some words before. {notice} and after")] == [name]
+        assert [x[0] for x in scan(f"{said.upper()}\n Version {version}, {date}\n Copyright")] == [name]
+    two = [x[0] for x in scan(" z ".join(GNU_NOTICE.format(said, version) for _, said, version, _ in GNU))]
+    assert two == sorted(x[0] for x in GNU)
+
+
+def test_alignment_is_a_common_subsequence():
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ([r.choice("abcdefgh") for _ in range(r.randint(0, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        pairs = align(a, b)
+        assert len(pairs) <= table[-1][-1] and all(a[i] == b[j] for i, j in pairs) and (not table[-1][-1] or pairs or len(set(a)) < len(a) or len(set(b)) < len(b))
+        assert all(i < p and j < q for (i, j), (p, q) in zip(pairs, pairs[1:]))
+
+
 def test_pipeline_keeps_clean_documents(spark, sf):
     import corpus_pipeline
 
