@@ -91,8 +91,7 @@ def variance_histograms(
 ) -> DataFrame:
     """Histograms of the columns of largest variance, by default among all but index columns."""
     if columns is None:
-        indexes = set(detect_index_columns(df))
-        columns = [c for c in numeric_columns(df) if c not in indexes]
+        columns = numeric_columns(df, detect_index_columns(df))
     top = [r["column_name"] for r in top_variance_columns(df, top_n, columns).collect()]
     return histogram(df, top, bins)
 
@@ -210,10 +209,15 @@ def time_series_charts(
     bucket: str | None = None,
     numeric: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The numeric column of largest variance over each of the first datetime columns."""
+    """The numeric column of largest variance over each of the first datetime columns.
+
+    By default all numeric columns but index columns compete.
+    """
     times = datetime_columns(df)[:first_columns]
-    best = top_variance_columns(df, 1, numeric).first()
-    if not times or best is None:
+    if numeric is None and times:
+        numeric = numeric_columns(df, detect_index_columns(df))
+    best = top_variance_columns(df, 1, numeric).first() if times else None
+    if best is None:
         return df.sparkSession.createDataFrame(
             [],
             "time_column string, value_column string, at timestamp_ntz, mean_value double, band_low double, band_high double",

@@ -173,7 +173,9 @@ def top_variance_columns(
     df: DataFrame, top_n: int = 2, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """``(column_name, variance)`` of the columns of largest sample variance (null reads as 0)."""
-    names = list(columns or numeric_columns(df))
+    names = numeric_columns(df) if columns is None else list(columns)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, variance double")
     return (
         metrics_by_name(
             df,

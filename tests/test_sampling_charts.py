@@ -1,4 +1,5 @@
 import math
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -199,3 +200,13 @@ def test_a_key_on_most_rows_stays_in_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert parts > 4 and positions == 40_000
+
+
+def test_time_series_leaves_out_index_columns(table):
+    rows = [(k * 1_000, float(k % 3), datetime(2024, 1, 1 + k % 2)) for k in range(30)]
+    series = charts.time_series_charts(table([(k, v, at) for k, (_, v, at) in enumerate(rows)], "k long, v double, at timestamp_ntz"))
+    assert {r["value_column"] for r in series.collect()} == {"v"}
+    spaced = charts.time_series_charts(table(rows, "k long, v double, at timestamp_ntz"))
+    assert {r["value_column"] for r in spaced.collect()} == {"k"}
+    alone = table([(k, at) for k, (_, _, at) in enumerate(rows)], "k long, at timestamp_ntz")
+    assert charts.time_series_charts(alone).count() == 0 and charts.variance_histograms(alone).count() == 0
