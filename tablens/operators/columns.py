@@ -16,6 +16,9 @@ AGGREGATES_PER_PASS = 60
 # Tables estimated below this size are dealt out to all cores before CPU-heavy work.
 SPREAD_BELOW_BYTES = 256 * 1024**2
 
+# Texts longer than this stand as their SHA-256 where only equality counts.
+SHORT = 64
+
 Metric = Callable[[str], Column]
 
 
@@ -77,7 +80,7 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 def short_form(text: Column) -> Column:
     """Stands for the text where only equality counts: long texts become their SHA-256."""
-    return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
+    return F.when(F.length(text) > SHORT, F.sha2(text, 256)).otherwise(text)
 
 
 def chunks(items: Sequence, size: int) -> list[Sequence]:
