@@ -50,7 +50,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of the text decoded from them."""
-    return bpe(docs, tokenizer("byte_bpe_50k.json")).drop("decoded")
+    return bpe(docs, tokenizer("byte_bpe_50k.json"), with_decoded=False)
 
 
 STAGES = [

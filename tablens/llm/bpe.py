@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from .words import frequent_words
 
 FREQUENT = 32768  # words in the transducer
-CACHED = 300_000  # words that a worker remembers
+CACHED = 200_000  # words that a worker remembers
 SPECIAL = "\0"  # added to special strings among words
-AT_ONCE = 2 << 20  # characters of texts that are split before their words are looked up
+AT_ONCE = 1 << 20  # characters of texts that are split before their words are looked up, and given back at once
 
 # fixed value: how byte-level vocabularies split a text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -284,18 +284,24 @@ class Transducer:
 
 
 def bpe(
-    docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
+    docs: DataFrame,
+    tokenizer_file: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = True,
+    with_decoded: bool | None = None,
 ) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded])``, one row per document.
 
     Ids are those of the ``tokenizers`` library without added tokens; special strings inside a text
-    are single tokens, as is its default. ``decoded`` is made from the ids. Null texts count as
-    empty; null ids of rows pass through; an empty table gives no rows; other columns are not read.
+    are single tokens, as is its default. ``decoded`` is made from the ids; by default
+    it comes with them, ``with_decoded`` says otherwise. Null texts count as empty; null ids of rows pass through; an empty table gives no rows; other columns are not read.
     The file must be at the same place on every worker.
 
     Frequent words of the corpus are compiled into a transducer of bounded size and broadcast. Other
     words are merged by the rules; workers remember at most ``CACHED`` words.
     """
+    with_decoded = with_ids if with_decoded is None else with_decoded
     find = splitter()
     merges = Merges(tokenizer_file)
     words = frequent_words(docs, text_col, str.split, FREQUENT)
@@ -343,40 +349,49 @@ def bpe(
             written_of.update((text + SPECIAL, str(i)) for text, i in merges.special.items())
             bytes_of.update((text + SPECIAL, text.encode()) for text in merges.special)
 
+        def encoded_texts(doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+            out: list[list] = [[], [], [], [], []]
+            split = list(map(words_of, texts))
+            if len(written_of) > CACHED:
+                forget()
+            learn(set().union(*split) - written_of.keys())
+            for words in split:
+                written = ",".join(map(written_of.__getitem__, words))
+                decoded = b"".join(map(bytes_of.__getitem__, words)).decode("utf-8", "replace")
+                out[0].append(written.count(",") + bool(words))
+                out[1].append(hashlib.sha256(written.encode()).hexdigest())
+                out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
+                if with_ids:
+                    out[3].append(np.array(written.split(",") if words else [], np.int32))
+                if with_decoded:
+                    out[4].append(decoded)
+            columns = [doc_ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array(out[3], pa.list_(pa.int32())))
+                names.append("ids")
+            if with_decoded:
+                columns.append(pa.array(out[4], pa.string()))
+                names.append("decoded")
+            return pa.RecordBatch.from_arrays(columns, names)
+
         written_of: dict[str, str] = {}
         bytes_of: dict[str, bytes] = {}
         forget()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            texts = [x.as_py() or "" for x in batch.column(1)]
             start = 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= AT_ONCE):
-                    size += len(texts[stop])
-                    stop += 1
-                split = list(map(words_of, texts[start:stop]))
-                start = stop
-                if len(written_of) > CACHED:
-                    forget()
-                learn(set().union(*split) - written_of.keys())
-                for words in split:
-                    written = ",".join(map(written_of.__getitem__, words))
-                    decoded = b"".join(map(bytes_of.__getitem__, words)).decode("utf-8", "replace")
-                    out[0].append(written.count(",") + bool(words))
-                    out[1].append(hashlib.sha256(written.encode()).hexdigest())
-                    out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if with_ids:
-                        out[3].append(np.array(written.split(",") if words else [], np.int32))
-                        out[4].append(decoded)
-            columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            while start < batch.num_rows:  # a batch may hold thousands of long texts
+                texts, size = [], 0
+                for value in batch.column(1).slice(start):
+                    text = value.as_py() or ""
+                    size += len(text)
+                    if texts and size > AT_ONCE:
+                        break
+                    texts.append(text)
+                yield encoded_texts(batch.column(0).slice(start, len(texts)), texts)
+                start += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>, decoded string" if with_ids else ""
+    schema += (", ids array<int>" if with_ids else "") + (", decoded string" if with_decoded else "")
     return docs.select(id_col, text_col).mapInArrow(encode, schema)

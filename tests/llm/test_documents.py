@@ -342,6 +342,22 @@ def test_bpe(odd, empty):
     assert all(found.find(w) == merges.merge(w) for w in lexicon) and found.find(b"zz") is None and found.find(b"") is None
 
 
+def test_bpe_gives_long_batches_back_in_pieces(spark):
+    file = str(tokenizers.path("byte_bpe_50k.json"))
+    texts = ["word " * 150_000, None, "", "Zebra zebra " * 70_000, "x" * 1_200_000, "end"]
+    more = [(k, "word") for k in range(len(texts), 12_000)]  # two batches in one task
+    docs = spark.createDataFrame([*enumerate(texts), *more], "doc_id long, text string").coalesce(1)
+    got = bpe(docs, file, with_decoded=False)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert len(rows) == 12_000 and {rows[k]["ids_sha256"] for k, _ in more} == {rows[11_999]["ids_sha256"]}
+    for k, text in enumerate([*texts, *(t for _, t in more)]):
+        assert rows[k]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+        assert rows[k]["n_tokens"] == len(rows[k]["ids"])
+        assert rows[k]["ids_sha256"] == hashlib.sha256(",".join(map(str, rows[k]["ids"])).encode()).hexdigest()
+
+
+
 def test_token_counts(odd, empty):
     import sentencepiece
 
