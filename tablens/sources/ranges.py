@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import cut
 
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 STEP_BYTES = 1 << 20  # read at a time beyond the end of a range
 
 _RANGE = "path string, length long, start long, stop long"

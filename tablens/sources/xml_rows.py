@@ -35,10 +35,8 @@ def step_of(tag: bytes) -> int:
 
 def report(data: bytes) -> Report:
     """End state and change of depth of a range that starts at ``<``, for each state at its start."""
-    starts: dict[int, int] = {}  # marks seen from the state TEXT, with the depth before them
     depth, state = 0, TEXT
     for mark in _MARK.finditer(data):
-        starts[mark.start()] = depth
         if mark["open"]:
             state = _STARTS[mark["open"]]
             break
@@ -47,23 +45,32 @@ def report(data: bytes) -> Report:
     found = [(state, depth)]
     for inside, end in _ENDS.items():
         place = data.find(end)
-        if place < 0:
-            found.append((inside, 0))
-            continue
-        own, last = 0, None
-        for mark in _MARK.finditer(data, place + len(end)):
-            if mark.start() in starts:  # from here on all is as seen from TEXT
-                last = (state, own + depth - starts[mark.start()])
-                break
-            if mark["open"]:
-                last = (_STARTS[mark["open"]], own)
-                break
-            if mark["tag"]:
-                own += step_of(mark["tag"])
-        found.append(last or (TEXT, own))
+        found.append((inside, 0) if place < 0 else _resumed(data, place + len(end), state, depth))
     return found
 
 
+def _resumed(data: bytes, at: int, state: int, depth: int) -> tuple[int, int]:
+    """End state and change of depth from ``at`` on; ``state`` and ``depth`` are those from the start as TEXT.
+
+    The marks from both places are read side by side: from the first common one on all is the same,
+    which is mostly soon, and no marks are kept.
+    """
+    others, before, own = _MARK.finditer(data), 0, 0
+    other = next(others, None)
+    for mark in _MARK.finditer(data, at):
+        while other is not None and other.start() < mark.start():
+            if other["tag"]:
+                before += step_of(other["tag"])
+            other = None if other["open"] else next(others, None)
+        if other is not None and other.start() == mark.start():
+            return state, own + depth - before
+        if mark["open"]:
+            return _STARTS[mark["open"]], own
+        if mark["tag"]:
+            own += step_of(mark["tag"])
+    return TEXT, own
+
+
 def elements(source: Bytes, start: int, stop: int, state: int, depth: int) -> Iterator[bytes]:
     """Children of the root that start in the range, whole, also where they end beyond it."""
     source.extend(stop)

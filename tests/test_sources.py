@@ -441,3 +441,19 @@ def test_quoted_line_breaks_as_in_one_task(spark, tmp_path, monkeypatch, ends):
         tuple(x if x and x.strip() else None for x in r) for r in expected.collect()
     )
     assert got.count() == 400 and got.rdd.getNumPartitions() > 8
+
+
+def test_xml_report_keeps_no_marks():
+    import tracemalloc
+
+    from tablens.sources import xml_rows
+
+    data = b"<r><k>1</k><v>some text</v></r>\n" * 100_000
+    tracemalloc.start()
+    found = xml_rows.report(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(xml_rows.TEXT, 0), (xml_rows.COMMENT, 0), (xml_rows.DATA, 0), (xml_rows.INSTRUCTION, 0)]
+    assert peak < 1 << 20
+    mixed = b"<a>--><b/><a></a>]]></a><!-- <a>"
+    assert xml_rows.report(mixed) == [(1, 1 - 1), (1, -1), (1, -1), (xml_rows.INSTRUCTION, 0)]
