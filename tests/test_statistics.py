@@ -215,6 +215,43 @@ def test_attached_ranks_keep_every_row(spark, monkeypatch, limit):
     assert got.corr().iloc[0, 1] == pytest.approx(expected.corr().iloc[0, 1], abs=1e-12)
 
 
+@pytest.mark.parametrize("limit, avoided", [(10**6, "hashpartitioning(row#"), (0, "SortMergeJoin")])
+def test_ranks_of_few_values_stay_in_the_row_and_others_meet_no_values(spark, monkeypatch, limit, avoided):
+    """Few values: no shuffle by row. Many values: no join by value, no list of cells per row."""
+    monkeypatch.setattr(order, "BROADCAST_RANKS", limit)
+    df = spark.range(2000).select((F.col("id") % 50).cast("double").alias("a"), (F.col("id") * 7 % 1000).cast("double").alias("b"))
+    ranks, _ = order.pairwise_ranks(df, {c: F.col(c) for c in df.columns})
+    plan = ranks._jdf.queryExecution().executedPlan().toString()
+    assert avoided not in plan and "ObjectHashAggregate" not in plan
+
+
+@pytest.mark.parametrize("limit, share", [(10**6, 0.05), (10**3, 0.05), (0, 0.05), (0, 0.5)])
+def test_pairwise_ranks_with_ties_gaps_and_odd_numbers(spark, monkeypatch, limit, share):
+    """By broadcast, by interval and mixed: every rank a pair has, row by row."""
+    monkeypatch.setattr(order, "BROADCAST_RANKS", limit)
+    monkeypatch.setattr(order, "HOT_SHARE", share)
+    rng = np.random.default_rng(8)
+    n = 3000
+    frame = pd.DataFrame({"a": rng.normal(size=n).round(2), "b": rng.normal(size=n), "c": rng.integers(0, 5, n).astype(float), "d": np.nan})
+    frame.loc[rng.random(n) < 0.3, "a"] = -0.0
+    frame.loc[rng.random(n) < 0.1, "a"] = 0.0
+    frame.loc[rng.random(n) < 0.1, "a"] = np.inf
+    frame.loc[rng.random(n) < 0.1, "b"] = -np.inf
+    frame.loc[rng.random(n) < 0.2, "b"] = np.nan
+    frame.loc[rng.random(n) < 0.2, "c"] = np.nan
+    df = spark.createDataFrame(frame)
+    values = {c: as_number(df, c) for c in frame}
+    ranks, place = order.pairwise_ranks(df, values)
+    sides = [(x, y) for x in frame for y in frame if x != y]
+    got = ranks.select(
+        *[F.when(F.col(y)[0].isNotNull(), F.col(x)[place[y]]).alias(x + y) for x, y in sides]
+    ).toPandas().astype(float)
+    expected = pd.DataFrame({x + y: frame[x].where(frame[y].notna()).rank() for x, y in sides})
+    by = list(expected)
+    got, expected = (t.sort_values(by).reset_index(drop=True) for t in (got, expected))
+    pd.testing.assert_frame_equal(got, expected)
+
+
 def test_file_index_counts_rows_in_scan_order(spark, sf, tmp_path):
     path = str(tmp_path / "numbers")
     spark.range(0, 5000, 1, 4).write.parquet(path)
