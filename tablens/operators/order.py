@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..storage import cut
 from .columns import chunks, collect_metrics, quoted, spread, union_all
 
-# Ranks of values that are broadcast, over all expressions together (about 100 bytes each); expressions
-# that would go beyond it are ranked by shuffle.
+# Values whose ranks are broadcast, over all expressions together, if each has one rank (about 100 bytes);
+# with more ranks for partners they count for more. Other expressions are ranked by shuffle.
 BROADCAST_RANKS = 2_000_000
 # So many expressions at most have their ranks broadcast.
 BROADCAST_JOINS = 40
@@ -153,7 +153,8 @@ def pairwise_ranks(df: DataFrame, values: dict[str, Column]) -> tuple[DataFrame,
     )
     gappy = [v for v in every if facts[v]["n"] < facts[v]["rows"]]
     places = range(len(gappy) + 1)
-    few = _few_values({v: facts[v]["distinct"] * len(places) for v in every})
+    # a value takes about 90 bytes and 8 for each of its ranks
+    few = _few_values({v: facts[v]["distinct"] * (11 + len(places)) / 12 for v in every})
     many = [v for v in every if v not in few]
     if many:  # stored once, so that a row has the same number in every retry of a task
         rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -172,7 +173,7 @@ def pairwise_ranks(df: DataFrame, values: dict[str, Column]) -> tuple[DataFrame,
     return out, {n: gappy.index(v) + 1 if v in gappy else 0 for n, v in zip(names, every)}
 
 
-def _few_values(sizes: dict[str, int]) -> list[str]:
+def _few_values(sizes: dict[str, float]) -> list[str]:
     """The expressions whose ranks are broadcast: smallest first, up to the limit in all."""
     few, total = [], 0
     for v in sorted(sizes, key=sizes.get)[:BROADCAST_JOINS]:
