@@ -1,4 +1,4 @@
-"""Similarity join on word shingles: routed by parts of the sets, joined with signature trees."""
+"""Similarity join on word shingles: routed by parts of the sets, large groups parted by sketches, joined with signature trees."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
@@ -27,6 +27,9 @@ BLOCK_LOAD = 2_000_000  # shingles, and DOC_LOAD for each text, that one tree ho
 DOC_LOAD = 500
 BITS = 2048
 FANOUT = 8
+LEAST_BITS = 512  # of a sketch
+MOST_BITS = 4096
+FEW = 64  # sets with one signature that are compared in all pairs at once
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -119,29 +122,42 @@ def bands(tokens: np.ndarray) -> np.ndarray:
     return signature[least.any(axis=1)]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least twice as many bits as tokens, within limits: bit by the low bits of each token."""
+    bits = LEAST_BITS
+    while bits < MOST_BITS and bits < 2 * len(tokens):
+        bits *= 2
+    out = np.zeros(bits, np.uint8)
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
 def read_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, n_shingles, key, node, signs)``; of equal sets in a batch, the first has signatures."""
+    """``(doc_id, n_shingles, key, node, signs, sketch)``; of equal sets in a batch, the first has signatures and a sketch."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, signs = [], [], []
+            sizes, keys, signs, sketches = [], [], [], []
             seen: set[bytes] = set()
             for scalar in batch.column(1):
                 tokens = shingles(scalar.as_py())
                 key = set_key(tokens)
                 sizes.append(len(tokens))
                 keys.append(key)
-                signs.append(routes(tokens).tobytes() if len(tokens) and key not in seen else None)
+                new = len(tokens) and key not in seen
+                signs.append(routes(tokens).tobytes() if new else None)
+                sketches.append(sketch(tokens) if new else None)
                 seen.add(key)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(map(node_of, keys), pa.int64()), pa.array(signs, pa.binary())],
-                ["doc_id", "n_shingles", "key", "node", "signs"],
+                 pa.array(map(node_of, keys), pa.int64()), pa.array(signs, pa.binary()),
+                 pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "key", "node", "signs", "sketch"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(
-        read, f"doc_id {kind}, n_shingles long, key binary, node long, signs binary"
+        read, f"doc_id {kind}, n_shingles long, key binary, node long, signs binary, sketch binary"
     )
 
 
@@ -224,6 +240,135 @@ def route(sets: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("sign", "a").mapInArrow(both, "a long, b long").distinct()
 
 
+# ---- large groups ------------------------------------------------------------------------
+
+
+def folded(sketches: list[bytes]) -> list[np.ndarray]:
+    """By level: sketches folded to ``LEAST_BITS << level`` bits, in words; rows of smaller ones are zeros."""
+    lengths = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    out: list[np.ndarray] = []
+    held = LEAST_BITS // 8
+    while held <= lengths.max():
+        level = np.zeros((len(sketches), held), np.uint8)
+        for length in np.unique(lengths[lengths >= held]):
+            rows = np.flatnonzero(lengths == length)
+            own = np.frombuffer(b"".join(sketches[k] for k in rows), np.uint8).reshape(len(rows), -1, held)
+            level[rows] = np.bitwise_or.reduce(own, axis=1)
+        out.append(level.view(np.uint64))
+        held *= 2
+    return out
+
+
+def likely_links(signs: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Pairs of rows with one signature that may be linked; rows come by signature, then by size.
+
+    Bits that only one of two sketches has stand for shingles that only one of the sets has, so a
+    pair is passed over only if its sets can't be linked. What the pairs join, and nothing less, is
+    returned: a large run is searched from one row to the next, through the rows not reached yet.
+    """
+    levels = folded(sketches)
+    bits = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in levels]
+    top = np.log2(np.fromiter(map(len, sketches), np.int64, len(sketches)) * 8 // LEAST_BITS).astype(np.int64)
+
+    def alike(i: np.ndarray, j: np.ndarray, level: int) -> np.ndarray:
+        both = np.bitwise_count(levels[level][i] & levels[level][j]).sum(axis=-1, dtype=np.int64)
+        need = -(-(sizes[i] + sizes[j]) * PERCENT // (100 + PERCENT))
+        most = np.minimum(sizes[i] - bits[level][i], sizes[j] - bits[level][j]) + both
+        return (most >= need) & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j]))
+
+    starts = np.flatnonzero(np.r_[True, signs[1:] != signs[:-1]])
+    lengths = np.diff(np.r_[starts, len(signs)])
+    found = []
+    for length in np.unique(lengths[(lengths > 1) & (lengths <= FEW)]):
+        left, right = np.triu_indices(length, 1)
+        runs = starts[lengths == length]
+        step = max(1, (1 << 16) // len(left))
+        for k in range(0, len(runs), step):
+            i, j = ((runs[k : k + step, None] + x).ravel() for x in (left, right))
+            level = np.minimum(top[i], top[j])
+            for x in np.unique(level):
+                a, b = i[level == x], j[level == x]
+                same = alike(a, b, x)
+                found.append(np.c_[a[same], b[same]])
+    for start, length in zip(starts[lengths > FEW], lengths[lengths > FEW], strict=True):
+        left = np.arange(start, start + length)  # not reached yet, by size
+        reached: list[int] = []
+        while len(left):
+            if not reached:
+                reached, left = [int(left[0])], left[1:]
+            i = reached.pop()
+            low = np.searchsorted(sizes[left], -(-sizes[i] * PERCENT // 100))
+            high = np.searchsorted(sizes[left], sizes[i] * 100 // PERCENT, "right")
+            if low < high:
+                near = left[low:high]
+                next_ones = near[alike(np.int64(i), near, min(top[i], top[near].min()))]
+                found.append(np.c_[np.full(len(next_ones), i), next_ones])
+                reached += next_ones.tolist()
+                left = np.r_[left[:low], np.setdiff1d(near, next_ones, assume_unique=True), left[high:]]
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def likely(sets: DataFrame) -> DataFrame:
+    """``(a, b)``: links that join what may be linked among ``(node, n, signs, sketch)``, a row for each node.
+
+    Linked sets share a signature, so only pairs with one are looked at. Sketches go along with the
+    signatures that two sets or more have.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                packed = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+                owners = np.repeat(batch.column(0).to_numpy(), list(map(len, packed)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(packed)), pa.array(owners)], ["sign", "node"])
+
+    def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signs = batch.column(0).to_numpy()
+            last = int(np.searchsorted(signs, signs[-1]))
+            if held and (last or held[-1].column(0)[0].as_py() != signs[0]):
+                yield pa.Table.from_batches([*held, batch.slice(0, last)])
+                held = []
+            elif last:
+                yield pa.Table.from_batches([batch.slice(0, last)])
+            held.append(batch.slice(last))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches):
+            signs, nodes, sizes = (rows.column(k).to_numpy() for k in range(3))
+            pairs = np.unique(np.sort(nodes[likely_links(signs, sizes, rows.column(3).to_pylist())], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 0].copy())], ["a", "b"])
+
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = sets.select("node", "signs").mapInArrow(send, "sign long, node long")
+    shared = sent.withColumn("sets", F.count("*").over(Window.partitionBy("sign"))).where("sets > 1").drop("sets")
+    dealt = shared.join(sets.select("node", "n", "sketch"), "node").select("sign", "node", "n", "sketch")
+    return dealt.repartition(parts, "sign").sortWithinPartitions("sign", "n").mapInArrow(compare, "a long, b long").distinct()
+
+
+def parted(sets: DataFrame, base: DataFrame) -> DataFrame:
+    """``sets``, but labels too large for one tree are parted into what their sketches join.
+
+    Signatures of a few frequent shingles tie most texts together as a corpus grows. Sets that stay
+    alone in a parted label have no link and go.
+    """
+    wide = cut(loads(sets).where(F.col("load") > BLOCK_LOAD).select("label"))
+    if wide.isEmpty():
+        return sets
+    many = sets.join(wide, "label")
+    rows = in_bitmap(base.where("signs is not null"), "node", bitmap_of(many, "node", BITMAP_ROWS), BITMAP_ROWS)
+    one = rows.join(many.select("key"), "key", "left_semi").groupBy("key", "node").agg(
+        F.first("n_shingles").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch")
+    )
+    nodes = named_nodes(components(likely(cut(one.drop("key")))))
+    return cut(sets.join(wide, "label", "left_anti").unionByName(many.drop("label").join(nodes, "node").select(sets.columns)))
+
+
 # ---- signature trees ---------------------------------------------------------------------
 
 
@@ -254,6 +399,9 @@ def tree(sets: list[np.ndarray], start: int = 0) -> Node:
         above = []
         for k in range(0, len(level), FANOUT):
             part = level[k : k + FANOUT]
+            if len(part) == 1:  # a node with one child would hide its sets from a leaf
+                above += part
+                continue
             union, common = 0, -1
             for node in part:
                 union, common = union | node.union, common & node.common
@@ -319,6 +467,11 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None = None) ->
     return links
 
 
+def loads(sets: DataFrame) -> DataFrame:
+    """``(label, load)``: what a tree of a label's sets holds."""
+    return sets.groupBy("label").agg(F.sum(F.col("n") + DOC_LOAD).alias("load"))
+
+
 def join_blocks(sets: DataFrame, tokens: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between keys of ``sets`` ``(label, key, n)`` with ``tokens`` ``(key, tokens)``.
 
@@ -326,8 +479,7 @@ def join_blocks(sets: DataFrame, tokens: DataFrame) -> DataFrame:
     into blocks, and blocks of the same or neighbouring sizes meet in pairs.
     """
     load = F.sum(F.col("n") + DOC_LOAD)
-    sizes = sets.groupBy("label").agg(load.alias("load"))
-    wide = cut(sizes.where(F.col("load") > BLOCK_LOAD).select("label"))
+    wide = cut(loads(sets).where(F.col("load") > BLOCK_LOAD).select("label"))
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT) + 0.01)).cast("int")
     few = sets.join(wide, "label", "left_anti").select(
         "label", "key", "n", F.lit("0").alias("pair"), F.lit(False).alias("second")
@@ -380,6 +532,13 @@ def join_blocks(sets: DataFrame, tokens: DataFrame) -> DataFrame:
     return dealt.groupBy("label", "pair").applyInArrow(join, "a binary, b binary")
 
 
+def named_nodes(joined: DataFrame) -> DataFrame:
+    """``(node, label)`` of all nodes in components ``(node, component)``."""
+    return joined.select("node", F.col("component").alias("label")).unionByName(
+        joined.select(F.col("component").alias("node"), F.col("component").alias("label")).distinct()
+    )
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per document.
 
@@ -389,20 +548,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     under their own id. Null ids are passed over when the smallest is taken. Repeated rows belong
     together. An empty table gives no rows; other columns are not read.
 
-    Equal sets become one node. Nodes that share a signature, and what they reach, form a group;
+    Equal sets become one node. Nodes that share a signature, and what they reach, form a group; a
+    group too large for one tree is parted by sketches of its sets, which pass all linked pairs;
     signature trees join each group exactly. Every text is read once for its signatures; one text of
     each set in a group, found with a bitmap of ids, is read again for its shingles. Texts are never
     shuffled, and only the sets in groups are.
     """
     base = cut(read_sets(docs, id_col, text_col))
-    labels = components(route(base.where("signs is not null").select("node", "signs")))
-    nodes = labels.select("node", F.col("component").alias("label")).unionByName(
-        labels.select(F.col("component").alias("node"), F.col("component").alias("label")).distinct()
-    )
+    nodes = named_nodes(components(route(base.where("signs is not null").select("node", "signs"))))
     one = base.where("signs is not null").groupBy("node", "key").agg(
         F.first("n_shingles").alias("n"), F.min(F.xxhash64("doc_id")).alias("ticket")
     )
-    sets = cut(one.join(nodes, "node").select("label", "key", "n", "ticket"))
+    sets = parted(cut(one.join(nodes, "node").select("label", "node", "key", "n", "ticket")), base)
     again = in_bitmap(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("ticket")),
         "ticket",
@@ -410,7 +567,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         BITMAP_ROWS,
     )
     tokens = read_tokens(again, "text")
-    joined = components(join_blocks(sets.drop("ticket"), tokens))
+    joined = components(join_blocks(sets.select("label", "key", "n"), tokens))
     named = base.select("doc_id", "n_shingles", "key").join(
         joined.withColumnRenamed("node", "key"), "key", "left"
     ).withColumn("group", F.coalesce("component", "key"))

@@ -260,6 +260,74 @@ def test_tree_links_span_the_components():
     assert len(links) < len(sets)
 
 
+@pytest.mark.parametrize("n", [2, 9, 17, 25, 65, 73])
+def test_tree_links_reach_the_last_set(n):
+    """Some nodes of a tree have one child; its sets meet the others too."""
+    draw = np.random.default_rng(n)
+    base = np.unique(draw.integers(0, 1 << 63, 100, dtype=np.uint64))
+    sets = [np.unique(np.r_[base, draw.integers(0, 1 << 63, 1, dtype=np.uint64)]) for _ in range(n)]
+    assert len(jj.tree_links(sets)) == n - 1 and len(jj.tree_links(sets[:1], sets[1:])) == n - 1
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_likely_links_join_all_linked_sets(few, monkeypatch):
+    """Sets of one signature, of sizes around those where sketches get larger: all linked pairs are joined."""
+    monkeypatch.setattr(jj, "FEW", few)
+    draw = np.random.default_rng(few)
+    new = lambda k: draw.integers(0, 1 << 63, k, dtype=np.uint64)
+    rows = []
+    for sign, n in enumerate((1, 9, 40, 255, 257, 500, 520, 1030, 2060, 4500)):
+        for base in (new(n), new(n), new(n)):
+            rows += [(sign, np.unique(np.r_[base[: n - draw.integers(0, n // 9 + 1)], new(draw.integers(0, n // 9 + 1))])) for _ in range(7)]
+    rows.sort(key=lambda x: (x[0], len(x[1])))
+    signs, sizes = np.array([x for x, _ in rows]), np.array([len(x) for _, x in rows])
+    links = jj.likely_links(signs, sizes, [jj.sketch(x) for _, x in rows])
+    parent = list(range(len(rows)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in links:
+        assert signs[a] == signs[b]
+        parent[find(a)] = find(b)
+    true = 0
+    for a, (sign, one) in enumerate(rows):
+        for b, (other, two) in enumerate(rows[:a]):
+            both = len(np.intersect1d(one, two))
+            if sign == other and 100 * both >= 80 * (len(one) + len(two) - both):
+                true += 1
+                assert find(a) == find(b)
+    assert true > 300 and len({find(k) for k in range(len(rows))}) >= 29
+
+
+def hot(n, copies, seed=0):
+    """Texts of which all share a few passages, and some are near copies of others."""
+    r = random.Random(seed)
+    common = [words(9, f"common {k}") for k in range(6)]
+    out = []
+    for k in range(n):
+        lines = [words(12, f"{seed} {k} {j}") for j in range(4)] + r.sample(common, 4)
+        r.shuffle(lines)
+        out += ["\n".join(lines)] + [" ".join(("\n".join(lines) + f" x{c}").split()) for c in range(copies if k % 5 == 0 else 0)]
+    return out
+
+
+def test_large_groups_are_parted(spark, monkeypatch):
+    """What goes to blocks follows the near copies, though frequent passages tie most texts together."""
+    monkeypatch.setattr(jj, "BLOCK_LOAD", 4000)
+    dealt = []
+    whole = jj.join_blocks
+    monkeypatch.setattr(jj, "join_blocks", lambda sets, tokens: dealt.extend(sets.collect()) or whole(sets, tokens))
+    texts = hot(100, 3)
+    table = docs(spark, [(k, t, None) for k, t in enumerate(texts)])
+    got = jj.jaccard_join(table).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(list(enumerate(texts)))
+    assert 80 <= len(dealt) <= 90  # 20 texts with 3 near copies each, of 160
+    assert max(Counter(r.label for r in dealt).values()) < 8
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(60)] + [(100, 103), (103, 101), (7, 7)]
     got = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
