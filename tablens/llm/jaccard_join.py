@@ -362,7 +362,8 @@ def parted(sets: DataFrame, base: DataFrame) -> DataFrame:
         return sets
     many = sets.join(wide, "label")
     rows = in_bitmap(base.where("signs is not null"), "node", bitmap_of(many, "node", BITMAP_ROWS), BITMAP_ROWS)
-    one = rows.join(many.select("key"), "key", "left_semi").groupBy("key", "node").agg(
+    # not a semi join: Spark would push that below the bitmap
+    one = rows.join(many.select("key"), "key").groupBy("key", "node").agg(
         F.first("n_shingles").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch")
     )
     nodes = named_nodes(components(likely(cut(one.drop("key")))))

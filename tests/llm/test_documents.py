@@ -328,6 +328,17 @@ def test_large_groups_are_parted(spark, monkeypatch):
     assert max(Counter(r.label for r in dealt).values()) < 8
 
 
+@pytest.mark.parametrize("load", [jj.BLOCK_LOAD, 4000])
+def test_pipeline_keeps_one_of_near_copies(spark, load, monkeypatch):
+    """Seventeen texts, each with one word more, one label or parted; a tree of so many lost the last of them."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jj, "BLOCK_LOAD", load)
+    texts = [f"{words(80, 3)} x{k}" for k in range(17)] + [words(60, 4)]
+    kept = corpus_pipeline.without_near_copies(spark, docs(spark, [(k, t, None) for k, t in enumerate(texts)]), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 17]
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(60)] + [(100, 103), (103, 101), (7, 7)]
     got = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
